@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import substring
+from quillspark.llm import langid, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that is a near copy of an earlier one of its group."""
+    return simhash.groups(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offending sentences of every toxic document, by a model of ``labels``."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.offending(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose language is identified; those rejected have no row."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.classify(docs, langid.fit(docs)).where("accepted").select("doc_id", "predicted_lang", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_simhash, op8_toxicity, op10_language_id)}
 SQL = {"op1_substring_dedup": substring.SQL}
