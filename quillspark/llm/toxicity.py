@@ -88,7 +88,7 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n)) if len(doc) else np.zeros(n)
 
 
-def train(texts: list[str], labels: list[int], bits: int = 20, epochs: int = 30, rate: float = 0.5, shrink: float = 1e-3, min_docs: int = 5, seed: int = 8) -> Model:
+def train(texts: list[str], labels: list[int], bits: int = 20, epochs: int = 16, rate: float = 3.0, shrink: float = 1e-4, min_docs: int = 3, seed: int = 8) -> Model:
     """Fit to labelled documents, a fifth held out for the threshold."""
     y = np.array(labels, float)
     model = Model(np.zeros(1 << bits), -6.0, 2.0, bits)
