@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import langid, simhash, substring, toxicity
+from quillspark.llm import langid, lattice, pii, simhash, substring, toxicity
+
+
+#: A public key for the sake of repeatable runs; a real one is a secret of whoever runs this.
+KEY = b"not a secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +20,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data, and their number."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that is a near copy of an earlier one of its group."""
     return simhash.groups(_table(spark, sf_dir, "documents"))
@@ -27,11 +36,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.offending(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector that is a near copy of an earlier one of its group."""
+    return lattice.groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose language is identified; those rejected have no row."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.classify(docs, langid.fit(docs)).where("accepted").select("doc_id", "predicted_lang", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_simhash, op8_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_pii, op7_simhash, op8_toxicity, op9_lattice, op10_language_id)}
 SQL = {"op1_substring_dedup": substring.SQL}
