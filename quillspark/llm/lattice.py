@@ -221,7 +221,7 @@ def _stars(dims: int, threshold: float, block: int):
     return run
 
 
-def groups(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, tables: int = 6, probes: int = 2, width: float = 0.7, cell_cap: int = 4096, seed: int = 9) -> DataFrame:
+def groups(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, tables: int = 4, probes: int = 2, width: float = 0.5, cell_cap: int = 4096, seed: int = 9) -> DataFrame:
     """(``vec_id``, ``duplicate_of``) of each vector that nearly equals an earlier one of its group; see the module."""
     e = embeddings.select(embeddings[vec_id].cast("bigint").alias("id"), embeddings[embedding].cast("array<float>").alias("e")).where("id is not null and e is not null")
     most = e.groupBy(F.size("e").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
