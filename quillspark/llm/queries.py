@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import langid, lattice, pii, simhash, substring, toxicity
+from quillspark.llm import langid, lattice, mixing, packing, pii, simhash, substring, topk, toxicity
 
 
 #: A public key for the sake of repeatable runs; a real one is a secret of whoever runs this.
@@ -20,6 +20,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of a mix of all tokens with 0.95 of the greatest entropy and no source repeated more than 4 times."""
+    return mixing.draws(_table(spark, sf_dir, "documents"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 greatest inner products of every vector."""
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of the windows of 2048 tokens that all documents fill."""
+    return packing.segments(packing.windows(_table(spark, sf_dir, "documents")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for its personal data, and their number."""
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
@@ -47,5 +62,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, langid.fit(docs)).where("accepted").select("doc_id", "predicted_lang", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_pii, op7_simhash, op8_toxicity, op9_lattice, op10_language_id)}
-SQL = {"op1_substring_dedup": substring.SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op4_topk, op5_packing, op6_pii, op7_simhash, op8_toxicity, op9_lattice, op10_language_id)}
+SQL = {"op1_substring_dedup": substring.SQL, "op2_mixing": mixing.SQL, "op4_topk": topk.SQL, "op5_packing": packing.SQL}
