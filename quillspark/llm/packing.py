@@ -18,7 +18,7 @@ at the window ends in it, and windows gather their segments.
 window. Totals by source come to the driver. Nothing depends on how the input is partitioned.
 
 *Odd input.* As in mixing: a null source is '', rows without an id or without tokens are not packed, repeated rows are packed each
-(the same id twice in the queue, one after the other), an empty table gives no windows.
+(further rows of an id have places of their own in the order, away from the first), an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.mixing import WORD, counted
+from quillspark.llm.mixing import WORD, counted, keyed
 from quillspark.llm.shared import cut
 
 
@@ -72,7 +72,10 @@ def integer_weights(totals: dict[str, int], exponent: float) -> dict[str, int]:
 
 def windows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", window: int = 2048, exponent: float = 0.7, weights: dict[str, float] | None = None, digits: int = 3, seed: int = 5) -> DataFrame:
     """(window, n_tokens, segments) of all tokens; targets are ``weights`` or else token shares to the power ``exponent``; see the module."""
-    return packed(counted(docs, doc_id, source, text, seed), window, exponent, weights, digits)
+    t = counted(docs, doc_id, source, text, seed)
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "tokens"))
+    t = t.withColumn("copy", copy).withColumn("k", F.when(F.col("copy") == 1, F.col("k")).otherwise(keyed(seed, "doc_id", "copy"))).drop("copy")
+    return packed(t, window, exponent, weights, digits)
 
 
 def packed(t: DataFrame, window: int, exponent: float, weights: dict[str, float] | None, digits: int) -> DataFrame:
@@ -137,8 +140,10 @@ def materialised(packed_: DataFrame, docs: DataFrame, doc_id: str = "doc_id", te
 
 #: segments(windows()) with its defaults, in SQL: every token is a row, in the order of turns.
 SQL = r"""
-WITH t AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(text, '[^ \t\n\r\x0B\f]+'))::BIGINT AS tokens, md5('5:' || doc_id) AS k FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-d AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY k, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM t WHERE tokens > 0),
+WITH t AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(text, '[^ \t\n\r\x0B\f]+'))::BIGINT AS tokens FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source, tokens) AS copy FROM t WHERE tokens > 0),
+k AS (SELECT *, md5('5:' || doc_id || CASE WHEN copy > 1 THEN ':' || copy ELSE '' END) AS k FROM c),
+d AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY k, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM k),
 n AS (SELECT source, sum(tokens) AS total FROM d GROUP BY source),
 p AS (SELECT source, pow(total::DOUBLE / (SELECT sum(total) FROM n), 0.7) AS p FROM n),
 w AS (SELECT source, greatest(1, floor(p / (SELECT list_sum(list(p ORDER BY source)) FROM p) * 1e6 + 0.5)) AS w FROM p),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import langid, lattice, mixing, packing, pii, simhash, substring, topk, toxicity
+from quillspark.llm import langid, lattice, mixing, packing, pii, simhash, substring, topk, toxicity, warc
 
 
 #: A public key for the sake of repeatable runs; a real one is a secret of whoever runs this.
@@ -25,6 +25,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draws(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture, from the raw request, response and metadata records of all pages; what is nested comes as JSON."""
+    return warc.flat(warc.captures(warc.parsed(warc.from_pages(_table(spark, sf_dir, "pages")))))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 greatest inner products of every vector."""
     return topk.search(_table(spark, sf_dir, "embeddings"))
@@ -62,5 +67,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, langid.fit(docs)).where("accepted").select("doc_id", "predicted_lang", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op4_topk, op5_packing, op6_pii, op7_simhash, op8_toxicity, op9_lattice, op10_language_id)}
-SQL = {"op1_substring_dedup": substring.SQL, "op2_mixing": mixing.SQL, "op4_topk": topk.SQL, "op5_packing": packing.SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_warc, op4_topk, op5_packing, op6_pii, op7_simhash, op8_toxicity, op9_lattice, op10_language_id)}
+SQL = {"op1_substring_dedup": substring.SQL, "op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL, "op5_packing": packing.SQL}
