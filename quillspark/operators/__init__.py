@@ -1 +1 @@
-
+"""Transformations of counts and models."""
