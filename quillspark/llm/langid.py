@@ -164,7 +164,7 @@ def sample(docs: DataFrame, doc_id: str, text: str, label: str, max_rows: int, m
         return [], []
     # hashes are even, so a share of their range holds about that share of the rows; half as many again are looked at
     share = min(1.0, 1.5 * max_rows / total)
-    rows = d.where(slots("i", F.lit(10)) <= int(share * ((1 << 63) - 1))).select("t", "l", slots("i", F.lit(10)).alias("h")).orderBy("h", "t").limit(max_rows).collect()
+    rows = d.where(slots("i", F.lit(10)) <= min((1 << 63) - 1, int(share * (1 << 63)))).select("t", "l", slots("i", F.lit(10)).alias("h")).orderBy("h", "t").limit(max_rows).collect()
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
 
