@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     l = labels.select(labels[label_id].alias("i"), labels[label].cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))  # noqa: E741
     total = l.count()
     share = min(1.0, 1.5 * max_rows / max(1, total))
-    l = l.where(slots("i", F.lit(8)) <= int(share * ((1 << 63) - 1))).orderBy(slots("i", F.lit(8)), "i").limit(max_rows)  # noqa: E741
+    l = l.where(slots("i", F.lit(8)) <= min((1 << 63) - 1, int(share * (1 << 63)))).orderBy(slots("i", F.lit(8)), "i").limit(max_rows)  # noqa: E741
     d = docs.select(docs[doc_id].alias("i"), docs[text].alias("t")).where("t is not null").where(F.octet_length("t") <= max_bytes)
     rows = d.join(F.broadcast(l), "i").orderBy("i", "t").limit(max_rows).collect()
     return train([r["t"] for r in rows], [int(r["y"] > 0) for r in rows], **options)
