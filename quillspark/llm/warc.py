@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import components
+from quillspark.llm.shared import components, cut
 
 RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, content_type string, block string"
 
@@ -66,12 +66,14 @@ def _http(block: Column) -> tuple[Column, Column, Column]:
 def captures(records: DataFrame) -> DataFrame:
     """One nested row for each capture; see the module. ``records`` has the columns of ``RECORD``."""
     r = records.select(*[records[c.split()[0]].alias(c.split()[0]) for c in RECORD.split(", ")]).where("record_id is not null and record_id <> ''")
-    links = r.select("record_id", F.explode("concurrent_to").alias("to")).where("to is not null and to <> ''")
+    is_response = F.coalesce(F.col("type") == "response", F.lit(False))
+    # everything but the payloads is written once, so raw records are taken apart twice in all
+    narrow = cut(r.select("record_id", "type", "concurrent_to", "target_uri", "date", F.when(~is_response, F.col("block")).alias("block")))
+    links = narrow.select("record_id", F.explode("concurrent_to").alias("to")).where("to is not null and to <> ''")
     group = components(links, "record_id", "to")
-    responses = r.where(F.col("type") == "response")
-    rest = r.where(F.coalesce(F.col("type") != "response", F.lit(True)))
+    responses, rest = r.where(is_response), narrow.where(~is_response)
     # the response that has the rest of its capture: the least of those connected
-    heads = group.join(responses.select(F.col("record_id").alias("node")), "node", "left_semi").groupBy("root").agg(F.min("node").alias("head"))
+    heads = group.join(narrow.where(is_response).select(F.col("record_id").alias("node")), "node", "left_semi").groupBy("root").agg(F.min("node").alias("head"))
     small = rest.groupBy("record_id").agg(F.min(F.struct("type", "target_uri", "date", "block")).alias("x")).select("record_id", "x.*")
     small = small.join(group.withColumnRenamed("node", "record_id"), "record_id", "left").join(heads, "root", "left")
     small = small.withColumn("capture", F.coalesce("head", "root", "record_id"))
