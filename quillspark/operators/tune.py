@@ -28,7 +28,7 @@ def instances(models: Sequence[Model], lines: DataFrame, keys: Sequence[str]) ->
     union = Model(vocab.select(F.lit(1).alias("order"), F.col("word").alias("ngram"), F.lit(0.0).alias("log10_prob"), F.lit(0.0).alias("log10_backoff")), order)
     w = S.windows(union, lines, keys)
     n = F.size(F.split("window", " "))
-    w = w.select(T.last(F.col("window")).alias("word"), F.when(n > 1, F.substring_index("window", " ", n - 1)).otherwise("").alias("context"))
+    w = w.select(T.last(F.col("window")).alias("word"), F.when(n > 1, F.expr("substring_index(window, ' ', size(split(window, ' ')) - 1)")).otherwise("").alias("context"))
     return w.groupBy("context", "word").agg(F.count("*").alias("n")), vocab
 
 
@@ -60,7 +60,7 @@ def tables(models: Sequence[Model], lines: DataFrame, keys: Sequence[str]) -> di
         per = b.groupBy("context").agg(*[F.sum(F.when(F.col("size") >= s, F.col("b")).otherwise(0.0)).alias(f"from_{s}") for s in range(1, order)])
         ctx = ctx.join(per.select("context", F.col("from_1").alias(f"b_{k}")), "context", "left").withColumn(f"b_{k}", F.coalesce(f"b_{k}", F.lit(0.0)))
         # the longest of this model's n-grams for each word after the context
-        hit = tails.join(c.where("order > 1").select(T.context(F.col("ngram"), 2).alias("unused"), F.expr("substring_index(ngram, ' ', order - 1)").alias("c"), T.last(F.col("ngram")).alias("word"), "order", (F.col("log10_prob") * ln).alias("p")).drop("unused"), "c")
+        hit = tails.join(c.where("order > 1").select(F.expr("substring_index(ngram, ' ', order - 1)").alias("c"), T.last(F.col("ngram")).alias("word"), "order", (F.col("log10_prob") * ln).alias("p")), "c")
         best = hit.groupBy("context", "word").agg(F.max(F.struct("order", "p")).alias("x")).select("context", "word", "x.*").join(per, "context", "left")
         left = F.lit(0.0)
         for s in range(2, order):

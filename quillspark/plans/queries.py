@@ -440,8 +440,8 @@ def interp_backoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TUNE = [
-    BL,
-    f"tk AS (SELECT d, ln, i, ws[i] AS w FROM (SELECT d, ln, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT d, ln, list_concat({Z.Q}, ['</s>']) AS ws FROM bl)))",
+    Z.lines("kl", "benchmark", "item_id"),
+    f"tk AS (SELECT d, ln, i, ws[i] AS w FROM (SELECT d, ln, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT d, ln, list_concat({Z.Q}, ['</s>']) AS ws FROM kl)))",
     "tw AS (SELECT d, ln, i, coalesce(v.w, '<unk>') AS w FROM tk LEFT JOIN vu v USING (w))",
     "tc AS (SELECT w, coalesce(lag(w) OVER (PARTITION BY d, ln ORDER BY i), '<s>') AS c FROM tw)",
     "un AS (SELECT w, ua * ln(10) AS ua, ub * ln(10) AS ub, coalesce(ba, 0) * ln(10) AS ba, coalesce(bb, 0) * ln(10) AS bb FROM vu)",
