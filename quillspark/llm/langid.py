@@ -8,8 +8,10 @@ out once, so a text costs one gather an n-gram.
 *Training.* On a sample of ``max_rows`` labelled rows at most (the least hashes of ``doc_id`` in each language, in proportion),
 texts of more than ``max_bytes`` bytes not being sampled; a fifth is held out. Whatever is scored is scored whole.
 
-*Rejection.* The temperature that minimises the log loss of ``piece``-byte pieces of the held-out texts calibrates the probabilities
-(whole texts of a few languages are told apart so well that they would fit any temperature). A text is rejected if its best
+*Rejection.* A text is rejected if its share of n-grams that training has seen is under half of what all but ``max_loss`` of the held-out texts
+have: it is in no language that was learnt. The temperature that minimises the log loss of ``piece``-byte pieces of the held-out texts calibrates the probabilities
+(whole texts of a few languages are told apart so well that they would fit any temperature); as the mean of n n-grams is surer than that of
+the m in a piece, a longer text's logits are multiplied by sqrt(n / m). A text is rejected too if its best
 probability is under the threshold: the least one for which held-out accuracy reaches ``target`` and at least ``floor`` (under a half
 no language is likelier than not), but no more than rejects ``max_loss`` of the held-out texts that are classified right.
 
@@ -54,15 +56,17 @@ def grams(data: np.ndarray, order: int, bits: int) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # buckets x languages: what each n-gram adds to the mean logits
+    table: np.ndarray  # buckets x languages: what each n-gram adds to the mean logits; then whether training saw it
     temperature: float
     threshold: float
     bits: int
+    least_known: float = 0.0
+    piece_grams: float = 1.0
 
-    def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Mean logits and number of n-grams of each text."""
+    def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean logits, share of known n-grams and number of n-grams of each text."""
         data, off = flat(texts)
-        z, n = np.zeros((len(off) - 1, len(self.languages))), np.zeros(len(off) - 1)
+        z, n = np.zeros((len(off) - 1, len(self.languages) + 1)), np.zeros(len(off) - 1)
         for i, j in runs(off):
             for order in ORDERS:
                 lo, hi = off[i:j], np.maximum(off[i + 1 : j + 1] - order + 1, off[i:j])
@@ -77,17 +81,22 @@ class Model:
                     total = np.zeros((len(g) + 1, z.shape[1]))
                     np.cumsum(self.table[g], axis=0, dtype=np.float64, out=total[1:])
                     z[i:j] += total[np.clip(hi - a, 0, len(g))] - total[np.clip(lo - a, 0, len(g))]
-        return z / np.maximum(n, 1)[:, None], n
+        z /= np.maximum(n, 1)[:, None]
+        return z[:, :-1], z[:, -1], n
+
+    def probabilities(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of texts of n n-grams."""
+        return softmax(z * np.sqrt(np.maximum(1, n / self.piece_grams))[:, None] / self.temperature)
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, probability, whether it is accepted) of each text."""
         if not self.languages:
             return np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        z, n = self.logits(texts)
-        p = softmax(z / self.temperature)
+        z, known, n = self.logits(texts)
+        p = self.probabilities(z, n)
         best = p.argmax(1)
         top = np.where(n > 0, p[np.arange(len(p)), best], 0.0)
-        return best, top, (n > 0) & (top >= self.threshold)
+        return best, top, (n > 0) & (top >= self.threshold) & (known >= self.least_known)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -99,7 +108,7 @@ def train(texts: list[str], labels: list[str], bits: int = 18, width: int = 16,
     """Fit to labelled texts, every fifth held out for calibration."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((1 << bits, 0), np.float32), 1.0, 1.0, bits)
+        return Model([], np.zeros((1 << bits, 1), np.float32), 1.0, 1.0, bits)
     rng = np.random.Generator(np.random.PCG64(seed))
     y = np.array([languages.index(x) for x in labels])
     bags = []
@@ -130,21 +139,24 @@ def train(texts: list[str], labels: list[str], bits: int = 18, width: int = 16,
             size = w * w * float(back @ back)
             squares[ids] += size
             table[ids] -= (lr * w / np.sqrt(squares[ids]))[:, None] * back
-    model = Model(languages, table @ layer, 1.0, floor, bits)
+    model = Model(languages, np.hstack([table @ layer, (squares > 1e-6)[:, None]]).astype(np.float32), 1.0, floor, bits)
     if len(held):
         pieces, of = [], []
         for i in held:
             data = texts[i].encode()
             at = int(rng.integers(0, max(1, len(data) - piece)))
             pieces.append(data[at : at + piece].decode(errors="ignore")), of.append(y[i])
-        zp, n = model.logits(pa.array(pieces))
+        zp, _, n = model.logits(pa.array(pieces))
         zp, of = zp[n > 0], np.array(of)[n > 0]
         if len(of):
             scales = np.exp(np.linspace(np.log(0.01), np.log(100), 200))
             loss = [-np.log(np.maximum(softmax(zp / t)[np.arange(len(of)), of], 1e-12)).mean() for t in scales]
             model.temperature = float(scales[int(np.argmin(loss))])
-        z, _ = model.logits(pa.array([texts[i] for i in held]))
-        p = softmax(z / model.temperature)
+            model.piece_grams = float(np.median(n[n > 0]))
+        z, known, n = model.logits(pa.array([texts[i] for i in held]))
+        if (n > 0).any():
+            model.least_known = float(np.quantile(known[n > 0], max_loss)) / 2
+        p = model.probabilities(z, n)
         top, right = p.max(1), p.argmax(1) == y[held]
         order = np.argsort(-top)
         good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= target)

@@ -74,7 +74,7 @@ KINDS: list[tuple[str, re.Pattern]] = [
     ("iban", re.compile(r"(?<!\w)(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")),
     ("card", re.compile(r"(?<![\w.+])(?P<v>\d{13,19}|\d{4}(?:[ \-]\d{4}){3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w)")),
     ("ssn", re.compile(r"(?<![\w\-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w\-])")),
-    ("phone", re.compile(r"(?<![\w.])(?P<v>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-/]?\d){5,13}|\(\d{2,4}\)[ .\-]?\d(?:[ .\-/]?\d){5,9}|\d{2,4}[ .\-/]\d{3,4}[ .\-/]\d{3,5}|\d{10,12})(?!\w)")),
+    ("phone", re.compile(r"(?<![\w.])(?P<v>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-/]?\d){5,13}|\(\d{2,4}\)[ .\-]?\d(?:[ .\-/]?\d){5,9}|\d[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}|\d{2,4}[ .\-/]\d{3,4}[ .\-/]\d{3,5}|\d{10,12})(?!\w)")),
     ("name", re.compile(_TITLED)),
     ("name", re.compile(_LISTED)),
 ]
