@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import cut
+from quillspark.llm.shared import cut, fresh
 
 WORD = r"[^ \t\n\r\x0B\f]+"
 
@@ -142,9 +142,9 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     d = draws(docs, doc_id, source, text, **options)
     # equal ids are drawn together, so each of their rows comes as often as any of them
     times = d.groupBy(F.col("doc_id").alias("__id")).agg(F.countDistinct("pass").alias("__times"))
-    names = docs.columns
-    both = docs.join(times, docs[doc_id] == F.col("__id")).where(n_words(docs[text]) > 0)
-    return both.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[f"`{c}`" for c in names])
+    both = docs.join(times, docs[doc_id] == times["__id"]).where(n_words(docs[text]) > 0)
+    again = fresh(docs, "__pass")
+    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["__times"].cast("int"))).alias(again)).drop(again)
 
 
 #: draws() with its defaults, in SQL.

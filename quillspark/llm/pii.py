@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import cut
+from quillspark.llm.shared import cut, fresh
 
 GIVEN = {
     ("latin", "f"): "Alice Amanda Amélie Ana Andrea Angela Anna Barbara Beatriz Camille Carla Carmen Catherine Charlotte Chloé Christine Clara Claire Claudia Cristina Daniela Deborah Diana Dorothy Elena Elisabeth Elizabeth Emily Emma Eva Fatima Florence Franziska Gabriela Giulia Grace Hannah Heike Helen Helena Ingrid Irene Isabel Isabelle Jane Jennifer Jessica Johanna Josephine Juana Julia Julie Karen Katharina Katherine Laura Lauren Lena Linda Lisa Louise Lucía Lucie Magdalena Margaret Maria María Marie Marta Martha Mary Megan Michelle Monica Nadia Natalie Nathalie Nicole Olivia Patricia Paula Petra Pilar Rachel Rebecca Renate Rosa Ruth Sabine Sandra Sara Sarah Sofia Sophie Stephanie Susan Susanne Sylvie Teresa Ursula Valentina Valérie Vanessa Victoria Virginie".split(),
@@ -368,11 +368,11 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", broadcast_exce
         return d.mapInArrow(run, schema)
 
     # too many to hold in every executor: each text gets its own, by a join on its entities
-    row = "__row"
+    row, tries_ = fresh(d, "__row"), fresh(d, "__tries")
     keyed = cut(d.withColumn(row, F.monotonically_increasing_id()))
     asked = keyed.select(row, F.col(text).alias("t")).where("t is not null").mapInArrow(_by_row, f"`{row}` bigint, kind string, form string")
-    mine = asked.join(other, ["kind", "form"]).groupBy(row).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("__tries"))
-    both = keyed.join(mine, row, "left").select(*[f"`{c}`" for c in names], "__tries")
+    mine = asked.join(other, ["kind", "form"]).groupBy(row).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(tries_))
+    both = keyed.join(mine, row, "left").select(*[f"`{c}`" for c in names], tries_)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Surrogates(key)

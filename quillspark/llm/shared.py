@@ -38,6 +38,14 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def slots(*columns: Column | str) -> Column:
     """A well mixed non-negative 63-bit number of the columns."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))

@@ -197,4 +197,4 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_dist
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the later documents of each group; rows that share a ``doc_id`` stay or go together, null ids stay."""
     gone = groups(docs, doc_id, text, **options).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")

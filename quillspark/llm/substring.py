@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import fresh
 from quillspark.llm.textarrays import flat, mix, powers, words
 
 SPANS = "doc_id bigint, start_word bigint, end_word bigint, n_words bigint, first_doc_id bigint"
@@ -355,8 +356,9 @@ def without_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", t
 
     What is left keeps its bytes, spaces included. Documents without such runs, and null texts, stay as they are.
     """
-    cuts = spans.where("first_doc_id <> doc_id").groupBy(F.col("doc_id").alias("__cut_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cuts"))
-    joined_ = docs.join(cuts, docs[doc_id] == F.col("__cut_id"), "left").drop("__cut_id")
+    cid, list_ = fresh(docs, "__cut_id"), fresh(docs, "__cuts")
+    cuts = spans.where("first_doc_id <> doc_id").groupBy(F.col("doc_id").alias(cid)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(list_))
+    joined_ = docs.join(cuts, docs[doc_id] == cuts[cid], "left").drop(cid)
 
     @F.pandas_udf("string")
     def trimmed(t, c):  # type: ignore[no-untyped-def]
@@ -373,7 +375,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", t
 
         return t.combine(c, lambda a, b: a if a is None or b is None else one(a, b))
 
-    return joined_.withColumn(text, F.when(F.col("__cuts").isNull() | F.col(text).isNull(), F.col(text)).otherwise(trimmed(F.col(text), F.col("__cuts")))).drop("__cuts")
+    return joined_.withColumn(text, F.when(F.col(list_).isNull() | F.col(text).isNull(), F.col(text)).otherwise(trimmed(F.col(text), F.col(list_)))).drop(list_)
 
 
 #: The same in SQL: all windows, by their text.

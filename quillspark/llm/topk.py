@@ -203,7 +203,7 @@ def _met(dims: int, rotation: np.ndarray, head: int, k: int):
 
 
 def search(embeddings: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", head: int = 16, block: int = 2048, partition_blocks: int = 4) -> DataFrame:
-    """(``query_id``, ``rank`` from 1, ``neighbour_id``, ``score`` to 6 places) of every vector; see the module."""
+    """(``query_id``, ``rank`` from 1, ``neighbour_id``, ``score`` to 9 places) of every vector; see the module."""
     spark = embeddings.sparkSession
     e = embeddings.select(embeddings[vec_id].cast("bigint").alias("id"), embeddings[embedding].cast("array<float>").alias("e")).where("id is not null and e is not null")
     e = e.where("not exists(e, x -> x is null)")
@@ -228,12 +228,12 @@ def search(embeddings: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding
     pairs = seeded.crossJoin(blocks.select("ids", "vs"))
     found = pairs.mapInArrow(_met(dims, rotation, head, k), "query_id bigint, neighbour_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", F.round("score", 6).alias("score"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "score")
 
 
 SQL = """
 WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT a.id AS query_id, b.id AS neighbour_id, round(list_dot_product(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbour_id) AS rank FROM p)
-SELECT query_id, rank::INTEGER AS rank, neighbour_id, round(s, 6) AS score FROM r WHERE rank <= 10
+SELECT query_id, rank::INTEGER AS rank, neighbour_id, s AS score FROM r WHERE rank <= 10
 """
