@@ -39,6 +39,11 @@ class Config:
         C.prune_thresholds(self.prune, self.order)
 
 
+def log10(p: Column) -> Column:
+    """Minus infinity for 0, which a discount may leave."""
+    return F.when(p > 0, F.log10(p)).otherwise(F.lit(float("-inf")))
+
+
 class Estimate:
     """The steps of one estimate, for whoever wants them apart."""
 
@@ -108,8 +113,8 @@ class Estimate:
             p = collapsed(p)
         rows = None
         for n, x in p.items():
-            prob = F.log10("p") if self.config.collapse_values else F.least(F.lit(0.0), F.log10("p"))
-            x = x.select(F.lit(n).alias("order"), "ngram", prob.alias("log10_prob"), (F.log10("backoff") if n < self.order else F.lit(None).cast("double")).alias("log10_backoff"))
+            prob = log10(F.col("p")) if self.config.collapse_values else F.least(F.lit(0.0), log10(F.col("p")))
+            x = x.select(F.lit(n).alias("order"), "ngram", prob.alias("log10_prob"), (log10(F.col("backoff")) if n < self.order else F.lit(None).cast("double")).alias("log10_backoff"))
             rows = x if rows is None else rows.union(x)
         return Model(rows, self.order)
 

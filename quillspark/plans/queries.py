@@ -147,7 +147,7 @@ def _orders(n: int, name: str) -> None:
     @query(Z.with_(M3) + f"SELECT g AS ngram, round(lp, 6) + 0 AS log10_prob FROM model WHERE ord = {n}", name)
     def kn(spark: SparkSession, d: str) -> DataFrame:
         p = prepared(spark, d).probabilities()[n]
-        return p.select("ngram", rounded(F.least(F.lit(0.0), F.log10("p"))).alias("log10_prob"))
+        return p.select("ngram", rounded(F.least(F.lit(0.0), E.log10(F.col("p")))).alias("log10_prob"))
 
 
 for _n, _name in ((1, "kn_unigrams"), (2, "kn_bigrams"), (3, "kn_trigrams")):
