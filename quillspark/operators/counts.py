@@ -29,7 +29,9 @@ def sentences(df: DataFrame, column: str = "text", keep: Sequence[str] = (), ski
 
 def raw_counts(sents: DataFrame, order: int) -> DataFrame:
     """(ngram, count) of the padded n-grams of ``words``; partial sums before the one shuffle."""
-    return sents.select(F.explode(T.ngrams(T.padded(F.col("words"), order), order)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("count"))
+    # the padded words are a column of their own: within the n-grams' lambda an expression would be computed for each of them
+    p = sents.select(T.padded(F.col("words"), order).alias("p"))
+    return p.select(F.explode(T.ngrams(F.col("p"), order)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("count"))
 
 
 def token_stats(sents: DataFrame) -> DataFrame:
