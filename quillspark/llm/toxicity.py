@@ -7,6 +7,8 @@ unless every sentence is clean: ``P = 1 - prod(1 - p)``. The loss of ``P`` reach
 blame, which is what tells the offending sentences from their neighbours. Weights are not negative and shrink towards zero (an L1
 step), features of fewer than ``min_docs`` sampled documents have none; so words that merely accompany labels gather no weight.
 
+Once trained, sentences under ``FLOOR`` count as clean, so that a document isn't toxic for being long.
+
 *Training.* On a sample of ``max_rows`` labelled documents at most (the least hashes of the id), none over ``max_bytes`` bytes; a fifth
 is held out to set the threshold of ``P`` that has the best F1, in the middle of the gap that it leaves. All documents are scored whole.
 
@@ -83,8 +85,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+#: Sentences under this probability are clean: else what is left to each adds up, and any text that is long enough is toxic.
+FLOOR = 0.02
+
+
+def noisy_or(p: np.ndarray, doc: np.ndarray, n: int, floor: float = 0.0) -> np.ndarray:
     """Probability that any sentence of each document is toxic; a document without sentences is clean."""
+    p = np.where(p >= floor, p, 0.0)
     return 1 - np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n)) if len(doc) else np.zeros(n)
 
 
@@ -145,7 +152,7 @@ def train(texts: list[str], labels: list[int], bits: int = 20, epochs: int = 16,
     p_all = []
     rows = held if len(held) and 0 < y[held].sum() < len(held) else order
     k, s, doc, first = batch(rows)
-    p_all = noisy_or(sigmoid(np.bincount(s, model.weights[k], len(doc)) + model.bias), doc, len(rows))
+    p_all = noisy_or(sigmoid(np.bincount(s, model.weights[k], len(doc)) + model.bias), doc, len(rows), FLOOR)
     # the best F1, in the middle between its last toxic score and the next lower one
     ranked = np.argsort(-p_all, kind="stable")
     hits = np.cumsum(y[rows][ranked])
@@ -180,11 +187,11 @@ def offending(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 if not len(doc):
                     continue
                 p = model.score(*features(d, h, starts, ends, model.bits), sent, len(doc))
-                whole = noisy_or(p, doc, j - i)
+                whole = noisy_or(p, doc, j - i, FLOOR)
                 worst = np.zeros(j - i)
                 np.maximum.at(worst, doc, p)
                 first = np.searchsorted(doc, np.arange(j - i))
-                at = np.flatnonzero((whole[doc] >= model.threshold) & (p >= sentence_share * worst[doc]))
+                at = np.flatnonzero((whole[doc] >= max(model.threshold, FLOOR)) & (p >= np.maximum(FLOOR, sentence_share * worst[doc])))
                 if not len(at):
                     continue
                 body = bytes(d)

@@ -232,6 +232,8 @@ def test_offending_sentences_from_document_labels(spark):
     placed = [r for r in rows if labels[r["doc_id"]]]
     right = [r for r in placed if r["sentence"] == planted[r["doc_id"]]]
     assert len(right) >= 0.95 * len(placed)
+    long = spark.createDataFrame([(0, ". ".join(" ".join(make(rng, 8)) for _ in range(20_000)))], "doc_id bigint, text string")
+    assert toxicity.offending(long, m).count() == 0  # a clean text isn't toxic for being long
     for r in placed[:20]:
         assert texts[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode() == r["sentence_text"]
 
