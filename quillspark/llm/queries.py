@@ -20,6 +20,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 or more words that occurs twice, in two documents or in one, with the place of its first copy."""
+    return substring.repeats(_table(spark, sf_dir, "documents"), within=True)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every draw of a mix of all tokens with 0.95 of the greatest entropy and no source repeated more than 4 times."""
     return mixing.draws(_table(spark, sf_dir, "documents"))
@@ -67,5 +72,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, langid.fit(docs)).where("accepted").select("doc_id", "predicted_lang", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_warc, op4_topk, op5_packing, op6_pii, op7_simhash, op8_toxicity, op9_lattice, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op1_passages, op2_mixing, op3_warc, op4_topk, op5_packing, op6_pii, op7_simhash, op8_toxicity, op9_lattice, op10_language_id)}
 SQL = {"op1_substring_dedup": substring.SQL, "op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL, "op5_packing": packing.SQL}

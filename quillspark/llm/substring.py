@@ -2,6 +2,9 @@
 
 *What is found.* Words are runs of non-space bytes. A window is ``min_words`` consecutive words of a document. A word is covered if
 some window that holds it also occurs in another document. The result has one row for each maximal run of covered words.
+With ``within`` a window at another place of the same document counts too, overlapping ones included. The result then has one row for each maximal
+run of windows whose first copies (the least document, the least place in it) follow each other, and ``first_word``, where that copy begins;
+so rows of a document may overlap, and text with a period of n words has a row every n words.
 
 *How.*
 
@@ -9,20 +12,20 @@ some window that holds it also occurs in another document. The result has one ro
    ``prefix_words``-gram has the least hash among ``min_words - prefix_words + 1`` neighbours, and holds it at the same place in
    each of its occurrences. Only such *anchors* become suffixes (one word in 13). Nothing is lost by it: what lies before an
    anchor is compared too, as a tree of reversed prefixes.
-2. Prefixes. Suffixes are partitioned by their first ``prefix_words`` words. A prefix that only one document has makes a leaf and
+2. Prefixes. Suffixes are partitioned by their first ``prefix_words`` words. A prefix that only one document has (``within``: that occurs once) makes a leaf and
    goes. A prefix with more than ``memory_suffixes`` suffixes is lengthened: its suffixes start up to ``min_words - prefix_words``
    words earlier, and are partitioned by ``min_words`` words, so each part is a single node, counted without being held.
 3. Trees. The suffixes of a prefix are sorted by the words that follow, and by the reversed words that precede; with the lengths
    common to neighbours this is the suffix tree, a node being a run of suffixes with at least that much in common. A node of
-   depth ``min_words - d`` that shares ``d`` words to the left and has leaves of two documents is a repeat. Long repeats have
+   depth ``min_words - d`` that shares ``d`` words to the left and has leaves of two documents (``within``: two leaves) is a repeat. Long repeats have
    several anchors; their runs join in the result.
 
 *At scale.* One shuffle of 20 bytes an anchor, one of the texts by document, one of 200 bytes for each anchor of a repeated
 prefix; nothing is broadcast or collected. Comparisons are by 64-bit hashes of prefixes and 32-bit hashes of each further word.
 
 *Odd input.* A null or blank text, or one of fewer than ``min_words`` words, has no rows. Rows with a null ``doc_id`` are left out.
-Rows that share a ``doc_id`` count as one document: what only they have in common is no repeat, and their runs are joined as if of one
-text. An empty table gives no rows. Only the named columns are read, so extra ones don't matter.
+Rows that share a ``doc_id`` count as one document: what only they have in common is no repeat (``within``: unless at different places), and
+their runs are joined as if of one text. An empty table gives no rows. Only the named columns are read, so extra ones don't matter.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from quillspark.llm.shared import fresh
 from quillspark.llm.textarrays import flat, mix, powers, words
 
 SPANS = "doc_id bigint, start_word bigint, end_word bigint, n_words bigint, first_doc_id bigint"
+PASSAGES = f"{SPANS}, first_word bigint"
 
 
 def anchors(h: np.ndarray, off: np.ndarray, prefix: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,8 +86,11 @@ def _anchor_batches(prefix: int, window: int):
     return run
 
 
-def _repeated(most: int):
-    """Of rows sorted by g: (doc_id, 2 * at + whether its prefix is oversized) for prefixes that two documents have."""
+def _repeated(most: int, within: bool):
+    """Of rows sorted by g: (doc_id, 2 * at + whether its prefix is oversized) for prefixes that two documents have, or that occur twice."""
+
+    def differ(xs: list) -> bool:
+        return min(x.min() for x in xs) != max(x.max() for x in xs)
 
     def out(g: list, d: list, at: list, hot: bool) -> pa.RecordBatch:
         d, at = np.concatenate(d), np.concatenate(at).astype(np.int64)
@@ -109,7 +116,7 @@ def _repeated(most: int):
                         yield out([], [d[: hi[0]]], [at[: hi[0]]], True)
                     whole_lo = 1
                 if len(lo) > whole_lo:  # that run has ended
-                    if held > 0 and min(x.min() for x in ds) != max(x.max() for x in ds):
+                    if held > 0 and (differ(ds) or within and differ(ats)):
                         yield out([], ds, ats, held > most)
                     last, ds, ats, held = None, [], [], 0
             if len(lo) > whole_lo:
@@ -119,7 +126,10 @@ def _repeated(most: int):
                     seg = slice(a[0], z[-1])
                     n = z - a
                     few, many = np.minimum.reduceat(d[seg], a - a[0]), np.maximum.reduceat(d[seg], a - a[0])
-                    keep = np.repeat(few != many, n)
+                    twice = few != many
+                    if within:
+                        twice |= np.minimum.reduceat(at[seg], a - a[0]) != np.maximum.reduceat(at[seg], a - a[0])
+                    keep = np.repeat(twice, n)
                     if keep.any():
                         yield out([], [d[seg][keep]], [at[seg][keep]], False) if (n <= most).all() else pa.RecordBatch.from_arrays(
                             [pa.array(d[seg][keep]), pa.array(2 * at[seg][keep].astype(np.int64) + np.repeat(n > most, n)[keep])], ["doc_id", "code"]
@@ -128,7 +138,7 @@ def _repeated(most: int):
             if held > most:  # an oversized prefix is passed on as it comes
                 yield out([], ds, ats, True)
                 ds, ats, held = [], [], -1
-        if held > 0 and min(x.min() for x in ds) != max(x.max() for x in ds):
+        if held > 0 and (differ(ds) or within and differ(ats)):
             yield out([], ds, ats, held > most)
 
     return run
@@ -198,8 +208,11 @@ def _common(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_repeats(g: np.ndarray, doc: np.ndarray, at: np.ndarray, lefts: np.ndarray, rights: np.ndarray, left: np.ndarray, right: np.ndarray, prefix: int, length: int) -> tuple[np.ndarray, ...]:
-    """Repeats of all prefixes g at once: (doc, first word, word after the last, least document that has it) of windows in two documents."""
+def tree_repeats(g: np.ndarray, doc: np.ndarray, at: np.ndarray, lefts: np.ndarray, rights: np.ndarray, left: np.ndarray, right: np.ndarray, prefix: int, length: int, within: bool = False) -> tuple[np.ndarray, ...]:
+    """Repeats of all prefixes g at once: (doc, first word, word after the last, least document that has it) of windows in two documents.
+
+    ``within``: of windows at two places, and the first word of the copy that comes first.
+    """
     side, n = length - prefix, len(g)
 
     def ordered(x: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,17 +236,22 @@ def tree_repeats(g: np.ndarray, doc: np.ndarray, at: np.ndarray, lefts: np.ndarr
         if len(ok) < 2:
             continue
         key = node_r[ok] * (n + 1) + node_l[ok]
-        order = np.argsort(key)
+        order = np.lexsort((at[ok], doc[ok], key)) if within else np.argsort(key)
         k, docs = key[order], doc[ok][order]
         begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         first, last = np.minimum.reduceat(docs, begin), np.maximum.reduceat(docs, begin)
         size = np.diff(np.concatenate([begin, [len(k)]]))
-        keep = np.repeat(first != last, size)
+        if within:
+            place = at[ok][order]
+            keep = np.repeat((first != last) | (place[begin] != place[begin + size - 1]), size)
+        else:
+            keep = np.repeat(first != last, size)
         if keep.any():
             w = ok[order][keep]
-            found.append((doc[w], at[w] - d, at[w] - d + length, np.repeat(first, size)[keep]))
+            one = (doc[w], at[w] - d, at[w] - d + length, np.repeat(first, size)[keep])
+            found.append((*one, np.repeat(place[begin] - d, size)[keep]) if within else one)
     if not found:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * (5 if within else 4)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -252,16 +270,32 @@ def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarra
     return doc[b], start[b], np.maximum.reduceat(end, b), np.minimum.reduceat(first, b)
 
 
-def _trees(prefix: int, length: int, hold: int = 60_000):
+def passages(doc: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, word: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that follow each other word by word as one, if their first copies do that too."""
+    if not len(doc):
+        return doc, start, end, first, word
+    order = np.lexsort((start, start - word, first, doc))
+    doc, start, end, first, word = (x[order] for x in (doc, start, end, first, word))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | ((start - word)[1:] != (start - word)[:-1])
+    reach = np.maximum.accumulate(end + np.cumsum(new) * (int(end.max()) + 1))  # runs of a group don't reach into the next one
+    new[1:] |= (start + np.cumsum(new) * (int(end.max()) + 1))[1:] > reach[:-1] - length + 1
+    b = np.flatnonzero(new)
+    return doc[b], start[b], np.maximum.reduceat(end, b), first[b], word[b]
+
+
+def _trees(prefix: int, length: int, within: bool, hold: int = 60_000):
     side = length - prefix
+    names = ["doc_id", "start_word", "end_word", "first_doc_id", "first_word"][: 5 if within else 4]
 
     def solve(bs: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(bs).combine_chunks()
         g, doc, at, lefts, rights = (t.column(k).to_numpy() for k in ("g", "doc_id", "at", "lefts", "rights"))
         data, _ = flat(t.column("around"))
         around = data.view(">u4").reshape(len(g), 2 * side)
-        out = joined(*tree_repeats(g, doc, at.astype(np.int64), lefts.astype(np.int64), rights.astype(np.int64), around[:, :side], around[:, side:], prefix, length))
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["doc_id", "start_word", "end_word", "first_doc_id"])
+        runs = tree_repeats(g, doc, at.astype(np.int64), lefts.astype(np.int64), rights.astype(np.int64), around[:, :side], around[:, side:], prefix, length, within)
+        out = passages(*runs, length) if within else joined(*runs)
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names)
 
     def trees(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
         """The repeats of all prefixes held but the last, which may go on, and the rows of that one."""
@@ -271,9 +305,9 @@ def _trees(prefix: int, length: int, hold: int = 60_000):
         return (solve(t.slice(0, cut).to_batches()) if cut else None), t.slice(cut).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by hot, g, doc_id: first the trees, whole prefixes together until enough are held; then single nodes."""
+        """Rows come sorted by hot, g, doc_id (``within``: and at): first the trees, whole prefixes together until enough are held; then single nodes."""
         held, rows, enough = [], 0, hold
-        last, first, waiting = None, None, []
+        last, first, place, waiting = None, None, None, []
         for b in batches:
             hot = b.column(0).to_numpy(zero_copy_only=False)
             n = int(np.searchsorted(hot, True))
@@ -295,31 +329,65 @@ def _trees(prefix: int, length: int, hold: int = 60_000):
             at = at.astype(np.int64)
             begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             end = np.concatenate([begin[1:], [len(g)]])
-            firsts = doc[begin].copy()
+            firsts, places = doc[begin].copy(), at[begin].copy()
             if g[0] == last:
-                firsts[0] = first
+                firsts[0], places[0] = first, place
             else:
                 waiting = []
             spread = doc[end - 1] != firsts
+            if within:
+                spread |= at[end - 1] != places
             if waiting and spread[0]:
                 yield waiting[0] if len(waiting) == 1 else pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
             if g[0] != last or spread[0] or len(begin) > 1:
                 waiting = []
             size = end - begin
             least = np.repeat(firsts, size)
-            out = lambda keep: pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in (doc, at, at + length, least)], ["doc_id", "start_word", "end_word", "first_doc_id"])  # noqa: E731,B023
+            columns = (doc, at, at + length, least, np.repeat(places, size))[: len(names)]
+            out = lambda keep: pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in columns], names)  # noqa: E731,B023
             keep = np.repeat(spread, size)
             if keep.any():
                 yield out(keep)
-            if not spread[-1]:  # one document so far; another may follow
+            if not spread[-1]:  # one document (or place) so far; another may follow
                 waiting.append(out(slice(int(begin[-1]), len(g))))
-            last, first = g[-1], firsts[-1]
+            last, first, place = g[-1], firsts[-1], places[-1]
         if held:
             yield solve(held)
 
     return run
 
 
+def earliest(doc: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, word: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Passages in which each window has the first of the copies that its runs give; an anchor that only some copies have knows only those."""
+    n = end - start - length + 1
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    doc, start, first, word = np.repeat(doc, n), np.repeat(start, n) + step, np.repeat(first, n), np.repeat(word, n) + step
+    order = np.lexsort((word, first, start, doc))
+    keep = np.ones(len(order), bool)
+    keep[1:] = (doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1])
+    w = order[keep]
+    return passages(doc[w], start[w], start[w] + length, first[w], word[w], length)
+
+
+def _join_passages(length: int, hold: int = 1 << 20):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, runs = b.column(0).to_numpy(), b.column(1)
+            off = np.asarray(runs.offsets) - runs.offsets[0].as_py()
+            s = runs.flatten()
+            start, end, first, word = (s.field(k).to_numpy() for k in range(4))
+            total = np.concatenate([[0], np.cumsum(end - start - length + 1)])[off]
+            i = 0
+            while i < len(ids):  # documents of about ``hold`` windows at a time
+                j = max(i + 1, int(np.searchsorted(total, total[i] + hold, "right")) - 1)
+                c = slice(off[i], off[j])
+                doc, s_, e_, f_, w_ = earliest(np.repeat(ids[i:j], np.diff(off[i : j + 1])), start[c], end[c], first[c], word[c], length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, s_, e_, e_ - s_, f_, w_)], [c.split()[0] for c in PASSAGES.split(", ")])
+                i = j
+
+    return run
+
+
 def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b.column(0).to_numpy()
@@ -331,11 +399,13 @@ def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([doc, start, end, pa.array(out[2] - out[1]), first], ["doc_id", "start_word", "end_word", "n_words", "first_doc_id"])
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, prefix_words: int = 0, memory_suffixes: int = 20_000) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, prefix_words: int = 0, memory_suffixes: int = 20_000, within: bool = False) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_doc_id) of every maximal run of words covered by repeats; see the module.
 
     ``first_doc_id`` is the least document that shares any window of the run; a run with its own doc_id there is the first copy.
     ``memory_suffixes``: the suffixes of one prefix that a tree is built from in memory at most; more common prefixes are lengthened.
+    ``within``: repeats inside one document count too, and rows tell by ``first_word`` where the first copy is; that copy itself has its own doc_id and
+    start_word there.
     """
     prefix = prefix_words or (min_words + 1) // 2
     if not 0 < prefix <= min_words or min_words - prefix > 100:
@@ -343,11 +413,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
     d = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
     a = d.mapInArrow(_anchor_batches(prefix, min_words - prefix + 1), "g bigint, doc_id bigint, at int")
     a = a.repartition("g").sortWithinPartitions("g", "doc_id")
-    codes = a.mapInArrow(_repeated(memory_suffixes), "doc_id bigint, code bigint").groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
+    codes = a.mapInArrow(_repeated(memory_suffixes, within), "doc_id bigint, code bigint").groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
     both = d.join(codes.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "codes")
     suffixes = both.mapInArrow(_contexts(prefix, min_words), "hot boolean, g bigint, doc_id bigint, at int, lefts tinyint, rights tinyint, around binary")
-    suffixes = suffixes.repartition("hot", "g").sortWithinPartitions("hot", "g", "doc_id")
-    found = suffixes.mapInArrow(_trees(prefix, min_words), "doc_id bigint, start_word bigint, end_word bigint, first_doc_id bigint")
+    suffixes = suffixes.repartition("hot", "g").sortWithinPartitions("hot", "g", "doc_id", *(["at"] if within else []))
+    found = suffixes.mapInArrow(_trees(prefix, min_words, within), "doc_id bigint, start_word bigint, end_word bigint, first_doc_id bigint" + ", first_word bigint" * within)
+    if within:
+        return found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word", "first_doc_id", "first_word")).alias("runs")).mapInArrow(_join_passages(min_words), PASSAGES)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word", "first_doc_id")).alias("runs")).mapInArrow(_join_spans, SPANS)
 
 

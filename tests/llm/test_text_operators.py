@@ -87,6 +87,33 @@ def test_repeats_by_brute_force(spark, memory):
     assert not [r for r in got if r[0] == 100] and [r for r in got if r[0] == 102]
 
 
+@pytest.mark.parametrize("memory", [20_000, 2])
+def test_repeats_within_documents_by_brute_force(spark, memory):
+    rng = np.random.default_rng(11)
+    shared = [make(rng, n, "s") for n in (9, 10, 11, 25, 40)]
+    rows = []
+    for d in range(40):
+        own = make(rng, 12, f"own{d}x")
+        t = make(rng, int(rng.integers(0, 20))) + own
+        for _ in range(int(rng.integers(0, 3))):
+            t += shared[int(rng.integers(0, len(shared)))] + make(rng, int(rng.integers(0, 6)))
+        rows.append((d, " ".join(t + own * (d % 3))))
+    rows += [(100, "q " * 30), (101, "a b c " * 8), (102, "r " * 30), (103, "r " * 14), rows[2], rows[2]]
+    at = defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 9):
+            at[tuple(w[p : p + 10])].add((i, p))
+    want = {(i, p, *min(x)) for x in at.values() if len(x) > 1 for i, p in x}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = substring.repeats(df, min_words=10, memory_suffixes=memory, within=True).collect()
+    windows = [(r["doc_id"], r["start_word"] + k, r["first_doc_id"], r["first_word"] + k) for r in got for k in range(r["n_words"] - 9)]
+    assert sorted(windows) == sorted(want) and all(r["end_word"] - r["start_word"] == r["n_words"] for r in got)
+    ends = {(r["doc_id"], r["first_doc_id"], r["start_word"] - r["first_word"], r["end_word"] - 9) for r in got}
+    assert not [r for r in got if (r["doc_id"], r["first_doc_id"], r["start_word"] - r["first_word"], r["start_word"]) in ends]  # maximal
+    assert {r["doc_id"] for r in got} >= {1, 2, 4, 5, 100, 101} and queries.QUERIES["op1_passages"](spark, SF).columns == [*substring.repeats(df).columns, "first_word"]
+
+
 def test_repeats_sql(spark, same):
     same(queries.op1_substring_dedup(spark, SF), queries.SQL["op1_substring_dedup"])
 
