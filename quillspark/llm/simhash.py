@@ -6,13 +6,16 @@ letters, digits and non-ASCII bytes, without the case of ASCII letters). Two doc
 matches connect; the least ``doc_id`` of a group stays. The result has one row for every other document of a group.
 
 *How.* Equal fingerprints are one entry. Each of ``tables`` tables has its own random order of the bits; the first ``base_bits``
-of it are the bucket, which is all that is shuffled by. A bucket of more than ``bucket_cap`` entries is split by further bits of its
-order, as far as needed, where it arrives. Within a bucket all distances are computed, and only a star of each group found goes on;
+of it are the bucket, which is all that is shuffled by. A bucket of more than ``bucket_cap`` entries is split by further bits,
+as far as needed, where it arrives, and again by other bits: as often as makes up for the pairs that a split separates, so that over all tables a pair at
+``max_distance`` still meets with probability ``recall``. Entries that bits don't tell apart well enough to be worth it are compared
+whole, in blocks. Within a bucket all distances are computed, and only a star of each group found goes on;
 so neither thousands of copies nor a common bucket make a quadratic number of rows. The stars are joined by ``components``.
 
 *At scale.* A text is read once and not shuffled; an entry is 40 bytes times the tables. With n entries ``base_bits`` should be near
-log2(n / bucket_cap), else buckets are merely split later; recall at the very limit of distance falls slowly as n grows, to be met
-by more tables. Recall of pairs within the limit is measured in the tests.
+log2(n / bucket_cap), else buckets are merely split later. Splits cost time, not recall or shuffle: at 40 bits about 2, 5 and 11 splits of a
+bucket make up for 4, 8 and 12 bits more than the 12 of the bucket. Recall is measured in the tests. With few tables or many ``base_bits``, whole buckets
+may not reach ``recall``; their splits then keep 0.99 of what whole ones have.
 
 *Odd input.* A null text, or one without words, has no fingerprint: it is in no group, so it stays. Rows with a null ``doc_id`` are in
 no group either. Rows with the same ``doc_id`` are one document: each of their fingerprints counts for it, and they don't make a group
@@ -123,24 +126,103 @@ def star(f: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndar
     return who[keep], who[label[keep]]
 
 
-def matches(f: np.ndarray, ids: np.ndarray, bits: np.ndarray, base_bits: int, cap: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars of one bucket; while it has more than ``cap`` entries, four more of the table's ``bits`` split it."""
-    todo = [(np.arange(len(f)), base_bits)]
-    while todo:
-        at, used = todo.pop()
-        if len(at) < 2:
-            continue
-        if len(at) <= cap or used >= len(bits):
-            a, b = star(f[at], ids[at], most)
-            if len(a):
-                yield a, b
-            continue
-        key = sampled(f[at], bits[used : used + 4])[:, 0]
-        for v in np.unique(key):
-            todo.append((at[key == v], used + 4))
+def meeting(bits: int, used: int, most: int) -> float:
+    """Chance that a pair at distance ``most`` agrees on ``bits`` random bits, given that it does on ``used`` others."""
+    k = np.arange(bits)
+    return float(np.prod(np.maximum(BITS - used - most - k, 0) / (BITS - used - k)))
+
 
+def needed(tables: int, base_bits: int, most: int, recall: float) -> float:
+    """Share of the pairs at distance ``most`` in a bucket that must be compared for ``recall`` over all tables."""
+    return min(0.99, (1 - (1 - recall) ** (1 / tables)) / max(meeting(base_bits, 0, most), 1e-9))
 
-def _verified(base_bits: int, cap: int, most: int, seed: int):
+
+def least_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers under ``n`` that the pairs (a, b) connect each with."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def blocks(f: np.ndarray, most: int, pivots: int = 32, size: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that connect whatever matches connect, all distances compared but those of entries that are connected already."""
+    n = len(f)
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = np.zeros((len(x), len(y)), np.uint16)
+        for k in range(LANES):
+            d += np.bitwise_count(x[:, k][:, None] ^ y[None, :, k])
+        return d <= most
+
+    left, right = [], []
+    free = np.ones(n, bool)
+    for _ in range(pivots):  # dense groups need no comparisons among themselves once a pivot has them
+        if not free.any():
+            break
+        p = int(np.argmax(free))
+        at = np.flatnonzero(near(f[p : p + 1], f)[0])
+        left.append(np.full(len(at), p)), right.append(at)
+        free[at] = False
+    label = least_of(n, np.concatenate(left), np.concatenate(right))
+    order = np.argsort(label, kind="stable")
+    for i in range(0, n, size):
+        x = order[i : i + size]
+        for j in range(i, n, size):
+            y = order[j : j + size]
+            if label[x].min() == label[y].max() and label[x].max() == label[y].min():
+                continue
+            r, c = np.nonzero(near(f[x], f[y]))
+            r, c = x[r], y[c]
+            apart = label[r] != label[c]
+            if apart.any():
+                label = least_of(n, np.concatenate([label, r[apart]]), np.concatenate([np.arange(n), c[apart]]))
+    return label, np.arange(n)
+
+
+def matches(f: np.ndarray, ids: np.ndarray, bits: np.ndarray, base_bits: int, cap: int, most: int, need: float, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of one bucket. Over ``cap`` entries it is split by random ones of the table's further ``bits``, until each entry has met
+    those at distance ``most`` with probability ``need``; both entries of a pair take part until the first of them has.
+    """
+    if len(f) <= cap:
+        return star(f, ids, most)
+    rng = np.random.Generator(np.random.PCG64(seed))
+    left, right, missed, live = [], [], np.ones(len(f)), np.arange(len(f))
+    place = np.arange(len(f))
+    chance = [meeting(k, base_bits, most) for k in range(len(bits) - base_bits + 1)]
+    while len(live) > 1:
+        order, todo = rng.permutation(bits[base_bits:]), [(live, 0)]
+        while todo:
+            at, used = todo.pop()
+            parts = None
+            if len(at) > cap:
+                for more in (4, 8, 12):  # a split must save more comparisons than its repetition costs
+                    if used + more > len(order):
+                        break
+                    key = sampled(f[at], order[used : used + more])[:, 0].astype(np.int64)
+                    if (np.bincount(key).astype(float) ** 2).sum() * chance[used] < float(len(at)) ** 2 * chance[used + more]:
+                        by = np.argsort(key, kind="stable")
+                        parts = np.split(at[by], np.flatnonzero(np.diff(key[by])) + 1)
+                        todo += [(x, used + more) for x in parts]
+                        break
+            if parts is None:
+                missed[at] *= 1 - chance[used]
+                if len(at) > 1:
+                    a, b = star(f[at], place[at], most) if len(at) <= 2048 else (at[x] for x in blocks(f[at], most))
+                    left.append(a), right.append(b)
+        live = live[missed[live] > 1 - need]
+    label = least_of(len(f), np.concatenate(left), np.concatenate(right)) if left else place
+    moved = label != place
+    return ids[moved], ids[label[moved]]
+
+
+def _verified(base_bits: int, cap: int, most: int, need: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders: dict[int, np.ndarray] = {}
         held: list[pa.RecordBatch] = []
@@ -157,7 +239,8 @@ def _verified(base_bits: int, cap: int, most: int, seed: int):
                 if table not in orders:
                     orders[table] = order_of(table, seed)
                 order = np.argsort(ids[b:e], kind="stable")
-                for x, y in matches(f[b:e][order], ids[b:e][order], orders[table], base_bits, cap, most):
+                x, y = matches(f[b:e][order], ids[b:e][order], orders[table], base_bits, cap, most, need, [seed, int(key[b])])
+                if len(x):
                     left.append(x), right.append(y)
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
@@ -179,7 +262,7 @@ def _verified(base_bits: int, cap: int, most: int, seed: int):
     return run
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = 40, tables: int = 32, base_bits: int = 12, bucket_cap: int = 1024, seed: int = 7) -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = 40, tables: int = 32, base_bits: int = 12, bucket_cap: int = 1024, seed: int = 7, recall: float = 0.95) -> DataFrame:
     """(``doc_id``, ``duplicate_of``) of each document that near-copies an earlier one of its group; see the module."""
     if base_bits + (tables - 1).bit_length() > 62 or not 0 < base_bits <= 48:
         raise ValueError("base_bits must be 1 to 48")
@@ -188,7 +271,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_dist
     entries = cut(d.mapInArrow(_entries, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in lanes)))
     distinct = entries.groupBy(*lanes).agg(F.min("doc_id").alias("doc_id"))
     buckets = distinct.select("doc_id", *lanes).mapInArrow(_buckets(tables, base_bits, seed), "bucket bigint, doc_id bigint, " + ", ".join(f"{c} bigint" for c in lanes))
-    near = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(base_bits, bucket_cap, max_distance, seed), "a bigint, b bigint")
+    near = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(base_bits, bucket_cap, max_distance, needed(tables, base_bits, max_distance, recall), seed), "a bigint, b bigint")
     same = entries.join(distinct.withColumnRenamed("doc_id", "least"), lanes).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     c = components(near.union(same))
     return c.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))

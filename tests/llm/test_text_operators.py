@@ -178,6 +178,33 @@ def test_recall_of_pairs():
     assert len(a) > 20 and met.mean() >= 0.9
 
 
+@pytest.mark.parametrize("cap", [24, 2])
+def test_splits_of_buckets_keep_recall(cap):
+    """A bucket of 12 bits split by about 8 and 12 more (20 and 24 in all): pairs at the limit still meet in 32 tables."""
+    rng = np.random.default_rng(12)
+    order = simhash.order_of(0, 7)
+    bits = rng.integers(0, 2, (6000, 256)).astype(np.uint8)
+    bits[:, order[:12]] = 0
+    for k in range(1000):
+        bits[2 * k + 1] = bits[2 * k]
+        bits[2 * k + 1, rng.choice(order[12:], 40, replace=False)] ^= 1
+    f = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    need = simhash.needed(32, 12, 40, 0.95)
+    a, b = simhash.matches(f, np.arange(6000), order, 12, cap, 40, need, [7, 0])
+    assert len(a) and set(zip(a.tolist(), b.tolist())) <= {(2 * k + 1, 2 * k) for k in range(1000)}
+    assert 1 - (1 - simhash.meeting(12, 0, 40) * len(a) / 1000) ** 32 >= 0.9
+
+
+def test_blocks_connect_what_stars_do():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 2, (40, 256)).astype(np.uint8)
+    bits = base[rng.integers(0, 40, 3000)] ^ (rng.random((3000, 256)) < 0.07)
+    bits = np.concatenate([bits, rng.integers(0, 2, (500, 256)).astype(np.uint8)])
+    f = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    label, place = simhash.blocks(f, 40)
+    assert sorted(zip(*simhash.star(f, np.arange(len(f)), 40))) == sorted((i, x) for i, x in zip(place, label) if i != x)
+
+
 def test_groups_of_odd_input(odd, none):
     got = sorted(tuple(r) for r in simhash.groups(odd).collect())
     assert got == [(2, 1)]
