@@ -4,9 +4,10 @@ r"""WARC transaction assembly: request, response and metadata records joined thr
 in SQL expressions: header names are case-insensitive, lines may be folded, WARC-Concurrent-To may be repeated.
 
 *Captures.* Concurrent-to links are followed in both directions, over any number of records; what they connect is one
-capture. Its row has the response's columns, its HTTP status, headers and payload, and nested: ``request`` (the least record_id, if there are several),
-``metadata`` (an array by record_id) and ``others``, the identifiers of whatever else belongs to it. If several responses are connected, each has a
-row, and the least record_id has the rest of the capture. A capture without a response has a row with null response columns, under its least record_id.
+capture. Its row has the response's columns, its HTTP status, headers and payload, and nested: ``requests`` and ``metadata`` (arrays by record_id),
+``request`` (the first of the requests) and ``others``, the identifiers of the further requests and of whatever else belongs to it. If several responses
+are connected, each has a row; any other record goes to the response that it names, else to one that names it, else to that of a record that it names (of
+several the least record_id), and what is left to the least of the responses. A capture without a response has a row with null response columns, under its least record_id.
 
 *At scale.* The links (pairs of identifiers) go through ``components``; requests and metadata, which are small, are grouped by the
 response that they belong to; payloads go through one shuffle, by record_id, that both drops repeated records and joins the rest.
@@ -73,10 +74,18 @@ def captures(records: DataFrame) -> DataFrame:
     group = components(links, "record_id", "to")
     responses, rest = r.where(is_response), narrow.where(~is_response)
     # the response that has the rest of its capture: the least of those connected
-    heads = group.join(narrow.where(is_response).select(F.col("record_id").alias("node")), "node", "left_semi").groupBy("root").agg(F.min("node").alias("head"))
+    answered = group.join(narrow.where(is_response).select(F.col("record_id").alias("node")), "node", "left_semi")
+    heads = answered.groupBy("root").agg(F.min("node").alias("head"), F.max("node").alias("last"))
+    # where there are several, a record's own links come first
+    rivals = answered.join(heads.where("head <> last"), "root", "left_semi").select("node")
+    named = links.join(rivals, F.col("to") == F.col("node")).select("record_id", F.lit(0).alias("rank"), F.col("to").alias("owner"))
+    named = named.union(links.join(rivals, F.col("record_id") == F.col("node")).select(F.col("to").alias("record_id"), F.lit(1).alias("rank"), F.col("node").alias("owner")))
+    near = named.groupBy(F.col("record_id").alias("via")).agg(F.min(F.struct("rank", "owner"))["owner"].alias("owner"))
+    named = named.union(links.join(near, F.col("to") == F.col("via")).select("record_id", F.lit(2).alias("rank"), "owner"))
+    owners = named.groupBy("record_id").agg(F.min(F.struct("rank", "owner"))["owner"].alias("owner"))
     small = rest.groupBy("record_id").agg(F.min(F.struct("type", "target_uri", "date", "block")).alias("x")).select("record_id", "x.*")
-    small = small.join(group.withColumnRenamed("node", "record_id"), "record_id", "left").join(heads, "root", "left")
-    small = small.withColumn("capture", F.coalesce("head", "root", "record_id"))
+    small = small.join(group.withColumnRenamed("node", "record_id"), "record_id", "left").join(heads, "root", "left").join(owners, "record_id", "left")
+    small = small.withColumn("capture", F.coalesce("owner", "head", "root", "record_id"))
     line, lines, payload = _http(F.coalesce("block", F.lit("")))
     small = small.select(
         "capture",
@@ -86,7 +95,7 @@ def captures(records: DataFrame) -> DataFrame:
         "target_uri",
         "date",
     )
-    small = small.groupBy("capture").agg(F.min("request").alias("request"), F.sort_array(F.collect_list("metadata")).alias("metadata"), F.sort_array(F.collect_list("other")).alias("others"), F.min("target_uri").alias("uri_"), F.min("date").alias("date_"))
+    small = small.groupBy("capture").agg(F.sort_array(F.collect_list("request")).alias("requests"), F.sort_array(F.collect_list("metadata")).alias("metadata"), F.sort_array(F.collect_list("other")).alias("others"), F.min("target_uri").alias("uri_"), F.min("date").alias("date_"))
     big = responses.groupBy("record_id").agg(F.min(F.struct("target_uri", "date", "content_type", "block")).alias("x")).select("record_id", "x.*")
     both = big.join(small.withColumnRenamed("capture", "record_id"), "record_id", "full_outer")
     line, lines, payload = _http(F.col("block"))
@@ -97,9 +106,10 @@ def captures(records: DataFrame) -> DataFrame:
         F.expr("try_cast(substring_index(substring_index(substring_index(block, '\\r\\n', 1), ' ', 2), ' ', -1) as int)").alias("status"),
         lines.alias("headers"),
         payload.alias("payload"),
-        "request",
+        F.try_element_at("requests", F.lit(1)).alias("request"),
+        F.coalesce("requests", F.array().cast("array<struct<record_id:string,method:string,path:string,headers:string,body:string>>")).alias("requests"),
         F.coalesce("metadata", F.array().cast("array<struct<record_id:string,date:string,fields:string>>")).alias("metadata"),
-        F.coalesce("others", F.array().cast("array<string>")).alias("others"),
+        F.coalesce(F.sort_array(F.concat("others", F.transform(F.slice("requests", 2, F.greatest(F.size("requests") - 1, F.lit(0))), lambda x: x["record_id"]))), F.array().cast("array<string>")).alias("others"),
     )
 
 

@@ -160,6 +160,27 @@ def test_captures_of_all_kinds(spark):
     assert warc.captures(df.limit(0)).count() == 0
 
 
+def test_every_request_is_kept_by_its_response(spark):
+    rows = [
+        record("warcinfo", "w"),  # connects all
+        *[record("response", f"r{k}", ["w"], block="HTTP/1.1 200 OK") for k in (1, 2, 3)],
+        *[record("request", f"q{k}", [f"r{k}"], block=f"GET /{k} HTTP/1.1\r\n\r\n") for k in (1, 2)],
+        record("request", "q2b", ["r2"], block="GET /2b HTTP/1.1\r\n\r\n"),
+        record("request", "q2c", ["r2"], block="GET /2c HTTP/1.1\r\n\r\n"),
+        record("metadata", "m2", ["q2"]),  # by way of the request
+        record("metadata", "m3", ["r3", "w"]),
+        record("metadata", "m4", ["gone", "w"]),
+        record("response", "s1", ["p1"]), record("request", "p1"), record("response", "s2", ["w"]),
+        record("request", "a", ["lost"]), record("request", "b", ["lost"]),
+    ]
+    got = {r["record_id"]: r for r in warc.captures(spark.createDataFrame(rows, warc.RECORD)).collect()}
+    assert set(got) == {"r1", "r2", "r3", "s1", "s2", "a"}
+    assert {k: [q["path"] for q in got[k]["requests"]] for k in ("r1", "r2", "r3", "s2")} == {"r1": ["/1"], "r2": ["/2", "/2b", "/2c"], "r3": [], "s2": []}
+    assert got["r2"]["request"]["record_id"] == "q2" and got["r2"]["others"] == ["q2b", "q2c"] and got["r3"]["request"] is None
+    assert {k: [m["record_id"] for m in r["metadata"]] for k, r in got.items()} == {"r1": ["m4"], "r2": ["m2"], "r3": ["m3"], "s1": [], "s2": [], "a": []}
+    assert got["s1"]["request"]["record_id"] == "p1" and got["r1"]["others"] == ["w"] and got["a"]["others"] == ["b"]
+
+
 def test_parse_and_files(spark, tmp_path):
     raw = ["WARC/1.0\r\nwarc-type: Response\r\nWARC-Record-ID: <a>\r\nWARC-Target-URI: http://x/\r\n  y\r\nContent-Length: 6\r\n\r\né\r\n\r\n", "WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: <b>\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <c>\r\nContent-Length: 0\r\n\r\n", "junk", None, "WARC/1.0\r\nno end"]
     df = spark.createDataFrame([(x,) for x in raw], "raw string")
