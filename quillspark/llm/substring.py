@@ -426,10 +426,14 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
 def without_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all but the first copy of each repeat cut from ``text``: the runs whose ``first_doc_id`` is another document.
 
+    Of spans ``within`` documents, a run that is its own first copy stays whole even where others overlap it, so each passage is left somewhere. Without it a run
+    joined of passages has one first document only, and a passage that this one lacks may be lost; so give spans of ``repeats(..., within=True)``.
+
     What is left keeps its bytes, spaces included. Documents without such runs, and null texts, stay as they are.
     """
     cid, list_ = fresh(docs, "__cut_id"), fresh(docs, "__cuts")
-    cuts = spans.where("first_doc_id <> doc_id").groupBy(F.col("doc_id").alias(cid)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(list_))
+    own = F.expr("first_doc_id = doc_id" + " and first_word = start_word" * ("first_word" in spans.columns))
+    cuts = spans.groupBy(F.col("doc_id").alias(cid)).agg(F.collect_list(F.struct("start_word", "end_word", own.alias("own"))).alias(list_)).where(F.exists(list_, lambda r: ~r["own"]))
     joined_ = docs.join(cuts, docs[doc_id] == cuts[cid], "left").drop(cid)
 
     @F.pandas_udf("string")
@@ -438,11 +442,18 @@ def without_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", t
 
         def one(t: str, c) -> str:  # type: ignore[no-untyped-def]
             places = [m.span() for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", t)]
-            out, at = [], 0
-            for r in sorted(c, key=lambda r: r["start_word"]):
-                if r["start_word"] < len(places):
-                    out.append(t[at : places[r["start_word"]][0]])
-                    at = places[min(r["end_word"], len(places)) - 1][1]
+            gone = bytearray(len(places) + 1)
+            for own in (False, True):
+                for r in c:
+                    if r["own"] == own:
+                        a, b = min(r["start_word"], len(places)), min(r["end_word"], len(places))
+                        gone[a:b] = bytes([not own]) * (b - a)
+            out, at, a = [], 0, gone.find(1)
+            while a >= 0:
+                b = gone.find(0, a)
+                out.append(t[at : places[a][0]])
+                at = places[b - 1][1]
+                a = gone.find(1, b)
             return "".join([*out, t[at:]])
 
         return t.combine(c, lambda a, b: a if a is None or b is None else one(a, b))

@@ -134,6 +134,14 @@ def test_cut_leaves_the_first_copy(spark, odd):
     assert any(i == 1 and len(x) > 100 for i, x in t) and out.count() == odd.count()
 
 
+def test_cut_leaves_a_copy_of_each_passage(spark):
+    a, b, c = ([f"{x}{k}" for k in range(12)] for x in "abc")
+    rows = [(0, " ".join(b)), (1, " ".join(a + b)), (5, " ".join(a)), (6, " ".join([*c, "x", *c]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r[0]: r[1].split() for r in substring.without_repeats(df, substring.repeats(df, min_words=10, within=True)).select("doc_id", "text").collect()}
+    assert out == {0: b, 1: a, 5: [], 6: [*c, "x"]}
+
+
 # --- SimHash
 
 
