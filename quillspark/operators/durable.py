@@ -26,3 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, written and read: its plan begins anew, and a lost executor costs no recomputation of what came before."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer needed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
