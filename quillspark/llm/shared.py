@@ -1,41 +1,31 @@
-"""What several operators share: durable cuts of lineage, hashes, and connected components."""
+"""What several operators share: columns by any name, ids of any type, hashes, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillspark.operators.durable import cut, dropped, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, named by ``spark.checkpoint.dir``.
+__all__ = ["column", "components", "cut", "dropped", "fresh", "numbered", "original", "selected", "shared_dir", "slots"]
 
-    Only a session on one machine (``local``, as in tests) may leave it unset; it then gets a temporary one.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-        return named
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get()
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from it: lost executors cost no recomputation of what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def named(df: DataFrame, **columns: str) -> DataFrame:
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it back, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """The column of ``df`` with exactly this name."""
+    return df[quoted(name)]
+
+
+def selected(df: DataFrame, **columns: str) -> DataFrame:
     """Only the given columns of ``df``, under new names: whatever else it has, however it is called, can't clash."""
-    return df.select(*[df[old].alias(new) for new, old in columns.items()])
+    return df.select(*[column(df, old).alias(new) for new, old in columns.items()])
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -46,16 +36,57 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with its id column as bigint, and what the numbers stand for (``number``, ``value``; None if the ids are whole numbers).
+
+    Ids of another type, such as strings, are replaced by numbers in the order of the ids: distinct ids are sorted by range, and
+    each partition's numbers follow those of the one before. Null ids stay null. That is one shuffle of the distinct ids and one join.
+    """
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return df.withColumn(name, F.col(name).cast("bigint")), None
+    if isinstance(df.schema[name].dataType, T.NullType):
+        return df.withColumn(name, F.lit(None).cast("bigint")), None
+    ids = df.select(F.col(name).alias("value")).where("value is not null").distinct()
+    ids = cut(ids.repartitionByRange("value").sortWithinPartitions("value").select(F.monotonically_increasing_id().alias("number"), "value"))
+    rest = [c for c in df.columns if c != name]
+    return df.join(ids, df[name] == ids["value"], "left").select(F.col("number").alias(name), *rest).select(*df.columns), ids
+
+
+def original(df: DataFrame, ids: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the numbers of ``numbered`` in the given columns turned back."""
+    if ids is None:
+        return df
+    for c in columns:
+        back = ids.select(F.col("number").alias("__number"), F.col("value").alias("__value"))
+        df = df.join(back, df[c] == back["__number"], "left").select(*[F.col("__value").alias(c) if x == c else df[x] for x in df.columns])
+    return df
+
+
 def slots(*columns: Column | str) -> Column:
     """A well mixed non-negative 63-bit number of the columns."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def _with_least(pairs: DataFrame, n: int, hot: int) -> DataFrame:
+    """``pairs`` (k, x), ``n`` of them, with m, the least x of each k.
+
+    Minima are summed up before their shuffle. Keys with more than ``hot`` pairs, of which there are n / hot at most, meet their minima by
+    a broadcast and aren't shuffled; without them, no key is a large part of the join. No row ever holds the neighbours of a key.
+    """
+    least = pairs.groupBy("k").agg(F.min("x").alias("m"), F.count("*").alias("n"))
+    if n <= hot:
+        return pairs.join(least.drop("n"), "k")
+    hubs = pairs.sparkSession.createDataFrame(least.where(F.col("n") > hot).select("k", "m").collect(), least.select("k", "m").schema)
+    marked = pairs.join(F.broadcast(hubs), "k", "left")
+    return marked.where("m is null").drop("m").join(least.drop("n"), "k").unionByName(marked.where("m is not null"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, hot: int = 1_000_000) -> DataFrame:
     """(``node``, ``root``) of every node of ``edges``; the root is the smallest node that a path leads to.
 
-    Alternates the large-star and small-star steps, each one shuffle of the edges that are left. Every round is cut, so the plan
-    stays short and a lost executor repeats one round at most. Self-loops, repeated edges and null ends are allowed.
+    Alternates the large-star and small-star steps: each takes the minimum of every node's neighbours and joins it with the edges. A node with more than
+    ``hot`` edges (or a ten-thousandth of all, if that is more: so there are 20,000 of them at most) is joined by a broadcast. Every round is cut, so the
+    plan stays short and a lost executor repeats one round at most. Self-loops, repeated edges and null ends are allowed.
     """
     e = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -63,22 +94,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         .distinct()
     )
     e = cut(e)
-    before = None
+
+    def state() -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now = state()
     for _ in range(rounds):
+        most = max(hot, 2 * now[0] // 10_000)
         # large star: every neighbour above a node goes to the smallest of the node and its neighbours
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        large = least.select(F.explode("vs").alias("x"), F.least("u", "m").alias("y"), "u").where("x > u").select("x", "y").distinct()
+        both = e.select(F.col("u").alias("k"), F.col("v").alias("x")).union(e.select(F.col("v").alias("k"), F.col("u").alias("x")))
+        large = _with_least(both, 2 * now[0], most).where("x > k").select(F.col("x").alias("k"), F.least("k", "m").alias("x")).distinct()
         # small star: a node and its neighbours below it go to the smallest of them
-        low = large.groupBy("x").agg(F.min("y").alias("m"), F.collect_set("y").alias("ys"))
-        small = (
-            low.select(F.explode(F.concat("ys", F.array("x"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
+        low = _with_least(large, now[0], most)
+        small = low.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct(F.col("k").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        before, now = now, state()
+        if now == before:
             break
-        before = tuple(now)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

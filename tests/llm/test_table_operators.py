@@ -222,7 +222,7 @@ def test_topk_by_brute_force(spark, skew):
     x = np.round(np.vstack([x, x[:40]]) * 8).astype(np.float32) / 8  # ties
     ids = rng.permutation(5000)[: len(x)]
     df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], VECS).repartition(3)
-    got = sorted((r[0], r[1], r[2], round(r[3], 6)) for r in topk.search(df, 7, head=4, block=64).collect())
+    got = sorted((r[0], r[1], r[2], round(r[3], 6)) for r in topk.search(df, 7, unit=9000).collect())
     assert got == brute_topk(ids, x, 7)
 
 
@@ -233,6 +233,41 @@ def test_topk_of_odd_input(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_of_a_query_set(spark):
+    rng = np.random.default_rng(18)
+    x = (rng.normal(size=(500, 12)) * rng.pareto(1.2, (500, 1))).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:03d}", v.tolist(), 0) for i, v in enumerate(x)], "`vec.id` string, embedding array<float>, label int").withColumn("a`b", F.lit(1))
+    got = sorted(tuple(r)[:3] for r in topk.search(df, 3, vec_id="vec.id", queries=F.col("`vec.id`").endswith("7"), unit=2000).collect())
+    assert got == sorted((f"v{q:03d}", r, f"v{n:03d}") for q, r, n, _ in brute_topk(np.arange(500), x, 3) if q % 10 == 7)
+    assert topk.search(df, 3, vec_id="vec.id", queries=F.lit(None).cast("boolean")).count() == 0
+
+
+def pairs_multiplied(x, k=10):
+    values, rotation = np.linalg.eigh(x.astype(float).T @ x)
+    rotation, stages = rotation[:, ::-1], topk.stages_of(values[::-1])
+    order = np.argsort(-np.linalg.norm(x, axis=1))
+    ids = np.arange(len(x))
+    best = topk.Best(ids[::10], x[::10], rotation, stages, k)
+    v = topk.Rotated(ids[order], x[order], rotation, stages)
+    for a in range(0, len(x), 256):
+        best.meet_rotated(v, slice(a, min(a + 256, len(x))), chunk=64)
+    s = np.round(x[::10].astype(float) @ x.astype(float).T, 9)
+    s[np.arange(len(s)), ids[::10]] = -np.inf
+    assert np.allclose(best.score, -np.sort(-s, axis=1)[:, :k])
+    return best.multiplied / (len(x[::10]) * len(x)), best.met
+
+
+def test_topk_bounds_cut_pairs():
+    """Skewed lengths or a falling spectrum leave few of the pairs to multiply; vectors of one length in even directions leave all."""
+    rng = np.random.default_rng(19)
+    even = rng.normal(size=(4000, 64)).astype(np.float32)
+    even /= np.linalg.norm(even, axis=1)[:, None]
+    skewed = even * rng.pareto(1.5, (4000, 1)).astype(np.float32)
+    falling = (even * (0.8 ** np.arange(64))).astype(np.float32)
+    falling /= np.linalg.norm(falling, axis=1)[:, None]
+    assert pairs_multiplied(skewed)[0] < 0.15 and pairs_multiplied(falling)[0] < 0.25 and pairs_multiplied(even)[0] > 0.9
+
+
 def test_decode_finds_the_nearest_point():
     y = np.random.default_rng(9).normal(size=(300, 8)) * 2
     d = lattice.decode(y)
