@@ -5,8 +5,9 @@ an embedding table. Their mean goes through a linear layer to a softmax over the
 training never saw pull the mean towards zero and the softmax towards even odds. For scoring, table and layer are multiplied
 out once, so a text costs one gather an n-gram.
 
-*Training.* On a sample of ``max_rows`` labelled rows at most (the least hashes of ``doc_id`` in each language, in proportion),
-texts of more than ``max_bytes`` bytes not being sampled; a fifth is held out. Whatever is scored is scored whole.
+*Training.* On a sample of ``max_rows`` labelled rows at most: the least hashes of the ids of each language, ``min_rows`` of it or as many as it has (fewer if there are so many
+languages that these alone would exceed the sample), and the rest in proportion to the languages. Of a text of more than ``max_chars`` characters an excerpt of that
+length trains, from a hashed place in it. A fifth is held out. Whatever is scored is scored whole.
 
 *Rejection.* A text is rejected if its share of n-grams that training has seen is under half of what all but ``max_loss`` of the held-out texts
 have: it is in no language that was learnt. The temperature that minimises the log loss of ``piece``-byte pieces of the held-out texts calibrates the probabilities
@@ -16,8 +17,9 @@ probability is under the threshold: the least one for which held-out accuracy re
 no language is likelier than not), but no more than rejects ``max_loss`` of the held-out texts that are classified right.
 
 *Odd input.* Null and empty texts, and those without any n-gram, are rejected: language null, confidence 0. Rows without a label,
-text or id don't train. If no language can be trained (an empty table), every row is rejected. Repeated rows are each scored.
-Extra columns stay as they are; columns named like the added ones are replaced.
+text or id don't train. If no language can be trained (an empty table), every row is rejected. Repeated rows are each scored. Of languages that are equally probable the
+first in the order of their names is taken. Texts of any length are scored whole. Ids of any type will do. Extra columns stay as they are, whatever their names; columns named like the
+added ones are replaced. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.llm.shared import slots
+from quillspark.llm.shared import column, extended, slots
 from quillspark.llm.textarrays import BLOCK, SPACES, flat, runs
+from quillspark.llm.toxicity import excerpt
 
 ORDERS = (2, 3, 4)
 _PLAIN = np.arange(256, dtype=np.uint32)
@@ -167,28 +171,40 @@ def train(texts: list[str], labels: list[str], bits: int = 18, width: int = 16,
     return model
 
 
-def sample(docs: DataFrame, doc_id: str, text: str, label: str, max_rows: int, max_bytes: int) -> tuple[list[str], list[str]]:
-    """At most ``max_rows`` labelled rows, the least hashes of the ids in each language, in proportion to the languages."""
-    d = docs.select(docs[doc_id].alias("i"), docs[text].alias("t"), docs[label].alias("l")).where("i is not null and t is not null and l is not null").where(F.octet_length("t") <= max_bytes)
+def quotas(counts: dict[str, int], max_rows: int, min_rows: int) -> dict[str, int]:
+    """Rows of each language in the sample: ``min_rows`` or all it has, then in proportion to what is left."""
+    if len(counts) > max_rows:  # not even one each: the commonest
+        counts = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:max_rows])
+    least = min(min_rows, max_rows // max(1, len(counts)))
+    out = {k: min(n, least) for k, n in counts.items()}
+    more = {k: n - out[k] for k, n in counts.items()}
+    room = min(max_rows - sum(out.values()), sum(more.values()))
+    return {k: n + more[k] * room // max(1, sum(more.values())) for k, n in out.items()}
+
+
+def sample(docs: DataFrame, doc_id: str, text: str, label: str, max_rows: int, max_chars: int, min_rows: int) -> tuple[list[str], list[str]]:
+    """At most ``max_rows`` labelled rows, the least hashes of the ids in each language; see the module."""
+    d = docs.select(column(docs, doc_id).alias("i"), column(docs, text).alias("t"), column(docs, label).cast("string").alias("l")).where("i is not null and t is not null and l is not null")
     counts = {r["l"]: r["n"] for r in d.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    if not total:
+    if not counts:
         return [], []
     # hashes are even, so a share of their range holds about that share of the rows; half as many again are looked at
-    share = min(1.0, 1.5 * max_rows / total)
-    rows = d.where(slots("i", F.lit(10)) <= min((1 << 63) - 1, int(share * (1 << 63)))).select("t", "l", slots("i", F.lit(10)).alias("h")).orderBy("h", "t").limit(max_rows).collect()
+    wanted = [(k, q, min((1 << 63) - 1, int((1.5 * q + 50) / counts[k] * (1 << 63)))) for k, q in quotas(counts, max_rows, min_rows).items()]
+    plan = docs.sparkSession.createDataFrame(wanted, "l string, quota bigint, most bigint")  # at most max_rows languages
+    few = d.join(F.broadcast(plan), "l").withColumn("h", slots("i", F.lit(10))).where("h <= most").select("h", "l", "quota", excerpt(F.col("t"), F.col("i"), max_chars).alias("t"))
+    rows = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where("r <= quota").orderBy("h", "t", "l").select("t", "l").collect()
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", max_rows: int = 3000, max_bytes: int = 20_000, **options) -> Model:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", max_rows: int = 3000, max_chars: int = 20_000, min_rows: int = 50, **options) -> Model:
     """A model of the labels in ``docs``; see the module for the sample."""
-    return train(*sample(docs, doc_id, text, label, max_rows, max_bytes), **options)
+    return train(*sample(docs, doc_id, text, label, max_rows, max_chars, min_rows), **options)
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``predicted_lang`` (null if rejected), ``confidence`` (rounded to 6 places) and ``accepted``."""
     added = ("predicted_lang", "confidence", "accepted")
-    d = docs.drop(*added)
+    d = docs.select(*[column(docs, c) for c in docs.columns if c not in added])
     at = d.columns.index(text)
     names = np.array([*model.languages, ""], object)
 
@@ -198,5 +214,5 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             lang = pa.array([names[k] if o else None for k, o in zip(best, ok)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, lang, pa.array(np.round(top, 6)), pa.array(ok)], [*b.schema.names, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
-    return d.mapInArrow(run, f"{schema}, predicted_lang string, confidence double, accepted boolean")
+    kinds = zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()))
+    return extended(d, run, [T.StructField(c, k) for c, k in kinds])

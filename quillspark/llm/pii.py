@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.shared import column, cut, fresh, quoted
+from quillspark.llm.shared import column, cut, extended, fresh, quoted
 
 GIVEN = {
     ("latin", "f"): "Alice Amanda Amélie Ana Andrea Angela Anna Barbara Beatriz Camille Carla Carmen Catherine Charlotte Chloé Christine Clara Claire Claudia Cristina Daniela Deborah Diana Dorothy Elena Elisabeth Elizabeth Emily Emma Eva Fatima Florence Franziska Gabriela Giulia Grace Hannah Heike Helen Helena Ingrid Irene Isabel Isabelle Jane Jennifer Jessica Johanna Josephine Juana Julia Julie Karen Katharina Katherine Laura Lauren Lena Linda Lisa Louise Lucía Lucie Magdalena Margaret Maria María Marie Marta Martha Mary Megan Michelle Monica Nadia Natalie Nathalie Nicole Olivia Patricia Paula Petra Pilar Rachel Rebecca Renate Rosa Ruth Sabine Sandra Sara Sarah Sofia Sophie Stephanie Susan Susanne Sylvie Teresa Ursula Valentina Valérie Vanessa Victoria Virginie".split(),
@@ -522,35 +522,36 @@ def replaced(text: str | None, s: Surrogates, exceptions: dict[tuple[str, str],
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", broadcast_exceptions: int = 100_000) -> DataFrame:
     """``docs`` with surrogates in ``text`` and their number in ``n_entities``; see the module."""
-    d = docs.drop("n_entities")
-    names, at = d.columns, d.columns.index(text)
+    d = docs.select(*[column(docs, c) for c in docs.columns if c != "n_entities"])
+    at = d.columns.index(text)
+    added = [T.StructField("n_entities", T.IntegerType())]
     other = attempts(docs, key, text).where("attempt > 0").select("kind", "form", "attempt")
     few = other.limit(broadcast_exceptions + 1).collect()
-    schema = T.StructType([*d.schema.fields, T.StructField("n_entities", T.IntegerType())])
     if len(few) <= broadcast_exceptions:
         shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["form"]): r["attempt"] for r in few})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = Surrogates(key)
             for b in batches:
-                yield _rewritten(b, at, names, lambda i, t, kinds: replaced(t, s, shared.value, kinds))
+                yield _rewritten(b, at, lambda i, t, kinds: replaced(t, s, shared.value, kinds))
 
-        return d.mapInArrow(run, schema)
+        return extended(d, run, added)
 
     # too many to hold in every executor: each text gets its own, by a join on its entities
     row, tries_ = fresh(d, "__row"), fresh(d, "__tries")
     keyed = cut(d.withColumn(row, F.monotonically_increasing_id()))
     asked = keyed.select(F.col(row).alias("row"), column(keyed, text).alias("t")).where("t is not null").mapInArrow(_by_row, "row bigint, kind string, form string")
     mine = asked.join(other, ["kind", "form"]).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(tries_))
+    names = d.columns
     both = keyed.join(mine, row, "left").select(*[quoted(c) for c in names], tries_)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Surrogates(key)
         for b in batches:
             tries = b.column(len(names))
-            yield _rewritten(b.select(list(range(len(names)))), at, names, lambda i, t, kinds: replaced(t, s, {(x["kind"], x["form"]): x["attempt"] for x in tries[i].as_py() or []}, kinds))  # noqa: B023
+            yield _rewritten(b, at, lambda i, t, kinds: replaced(t, s, {(x["kind"], x["form"]): x["attempt"] for x in tries[i].as_py() or []}, kinds))  # noqa: B023
 
-    return both.mapInArrow(run_joined, schema)
+    return extended(both, run_joined, added).drop(tries_)
 
 
 def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,7 +561,7 @@ def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["row", "kind", "form"])
 
 
-def _rewritten(b: pa.RecordBatch, at: int, names: list[str], change) -> pa.RecordBatch:  # type: ignore[no-untyped-def]
+def _rewritten(b: pa.RecordBatch, at: int, change) -> pa.RecordBatch:  # type: ignore[no-untyped-def]
     texts = b.column(at)
     n = np.zeros(b.num_rows, np.int32)
     new: dict[int, str] = {}
@@ -573,4 +574,4 @@ def _rewritten(b: pa.RecordBatch, at: int, names: list[str], change) -> pa.Recor
         mask = np.zeros(b.num_rows, bool)
         mask[list(new)] = True
         texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([new[i] for i in sorted(new)], texts.type))
-    return pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(b.columns)] + [pa.array(n)], [*names, "n_entities"])
+    return pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(b.columns)] + [pa.array(n)], [*b.schema.names, "n_entities"])

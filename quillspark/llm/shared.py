@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quillspark.operators.durable import cut, dropped, shared_dir
 
-__all__ = ["column", "components", "cut", "dropped", "fresh", "numbered", "original", "selected", "shared_dir", "slots"]
+__all__ = ["column", "components", "cut", "dropped", "extended", "fresh", "numbered", "original", "selected", "shared_dir", "slots"]
 
 
 def quoted(name: str) -> str:
@@ -28,6 +28,13 @@ def selected(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[column(df, old).alias(new) for new, old in columns.items()])
 
 
+def extended(df: DataFrame, run, added: Sequence[T.StructField]) -> DataFrame:  # type: ignore[no-untyped-def]
+    """``df.mapInArrow(run)`` for columns of any name: ``run`` sees them as c0, c1, ... and yields them with the columns ``added``."""
+    fields = [T.StructField(f"c{k}", f.dataType, True) for k, f in enumerate(df.schema.fields)]
+    plain = df.toDF(*[f.name for f in fields])
+    return plain.mapInArrow(run, T.StructType([*fields, *added])).toDF(*df.columns, *[f.name for f in added])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     have = {c.lower() for c in df.columns}

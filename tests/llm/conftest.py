@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that an operator might use names of; none is meant for it.
-EXTRA = ["id", "i", "t", "l", "k", "g", "h", "a", "b", "v", "e", "n", "row", "node", "root", "tokens", "block", "pass", "copy", "kind", "form", "attempt", "window", "segments", "bucket", "f0", "raw", "least", "label", "words", "codes", "runs", "cell", "__id", "__pass", "__times"]
+EXTRA = ["id", "i", "t", "l", "k", "g", "h", "a", "b", "v", "e", "n", "row", "node", "root", "tokens", "block", "pass", "copy", "kind", "form", "attempt", "window", "segments", "bucket", "f0", "raw", "least", "label", "words", "codes", "runs", "cell", "__id", "__pass", "__times", "a.b", "a`b", "`", "n_entities.x", "predicted_lang.x", "with space", "1", "select"]
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -32,7 +32,7 @@ def odd(spark):
         (10, "a b \x0bc\x0c 中文 \U0001f600 é", "fr", "b", 9),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    return df.select("*", *[F.lit("clash").alias(c) for c in EXTRA])
+    return df.select("*", *[F.lit("clash").alias(c) for c in EXTRA])  # names with dots and backticks too
 
 
 @pytest.fixture(scope="session")

@@ -256,6 +256,37 @@ def test_scores_by_brute_force():
             assert np.allclose([*z[k], known[k]], m.table[g].astype(float).mean(0), atol=1e-6)
 
 
+def test_every_language_is_sampled(spark):
+    assert langid.quotas({"en": 40_000, "de": 5}, 3000, 50) == {"en": 2995, "de": 5}
+    q = langid.quotas({"en": 900_000, "fr": 90_000, "de": 300}, 3000, 50)
+    assert sum(q.values()) <= 3000 and q["de"] >= 50 and q["en"] > 9 * q["fr"] - 500 > 0
+    assert sum(langid.quotas({f"l{k}": 10 for k in range(40)}, 25, 5).values()) == 25
+    df = spark.range(40_005).selectExpr("concat('id', id) as `doc.id`", "if(id < 40000, 'the cat sat on the mat', concat('der Hund läuft durch den Wald ', id)) as text", "if(id < 40000, 'en', 'de') as lang", "1 as `a``b`")
+    m = langid.fit(df, doc_id="doc.id")
+    out = langid.classify(df.where("lang = 'de'"), m)
+    assert m.languages == ["de", "en"] and {r["predicted_lang"] for r in out.collect()} == {"de"} and out.columns[:4] == df.columns
+    texts, labels = langid.sample(spark.createDataFrame([(1, "wort " * 50_000, "de")], "i int, t string, l string"), "i", "t", "l", 10, 1000, 5)
+    assert labels == ["de"] and len(texts[0]) == 1000  # long texts train, by an excerpt
+
+
+def test_language_query_by_brute_force(spark):
+    """Softmax of the mean of a text's n-grams, one text at a time, on whole texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = langid.fit(docs)
+    want = {}
+    for r in docs.collect():
+        data = np.frombuffer(r["text"].encode(), np.uint8)
+        g = np.concatenate([langid.grams(data, o, m.bits) for o in langid.ORDERS if len(data) >= o] or [np.zeros(0, np.uint32)])
+        if len(g):
+            mean = m.table[g].astype(float).mean(0)
+            z = mean[:-1] * np.sqrt(max(1, len(g) / m.piece_grams)) / m.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            if p.max() >= m.threshold and mean[-1] >= m.least_known:
+                want[r["doc_id"]] = (m.languages[int(p.argmax())], round(float(p.max()), 4))
+    got = {r["doc_id"]: (r["predicted_lang"], round(r["confidence"], 4)) for r in queries.op10_language_id(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-4 for k in want)
+
+
 def test_language_of_odd_input(odd, none):
     m = langid.fit(odd)
     out = langid.classify(odd, m)
@@ -302,7 +333,56 @@ def test_offending_sentences_from_document_labels(spark):
 
 def test_noisy_or():
     p, doc = np.array([0.5, 0.5, 0.2]), np.array([0, 0, 2])
-    assert np.allclose(toxicity.noisy_or(p, doc, 3), [0.75, 0, 0.2])
+    assert np.allclose(toxicity.noisy_or(-np.log(1 - p), doc, 3), [0.75, 0, 0.2])
+    assert np.allclose(toxicity.noisy_or(-np.log(1 - p), doc, 3, 0.1), [1 - 0.9 * 0.25, 0.1, 1 - 0.9 * 0.8])
+    weak = np.full(400, -np.log(1 - 0.019))  # many sentences of little evidence are as much as a strong one
+    assert toxicity.noisy_or(weak, np.zeros(400, int), 1)[0] > 0.999
+
+
+def scored_by_brute_force(m, text):
+    """(P, p of each sentence with words), one word at a time."""
+    from quillspark.llm.textarrays import NONWORD
+    from quillspark.llm.textarrays import words as hashed
+
+    out = []
+    for part in re.split(rb"(?<=[.!?\n])", text.encode()):
+        seen = set()
+        for w in re.findall(rb"(?:[0-9A-Za-z]|[\x80-\xff])+", part):
+            (_, _, h, _, _, _), = hashed(pa.array([w.decode(errors="ignore")]), fold=True, gap=NONWORD)
+            low = bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+            seen.add(int(h[0] >> np.uint64(64 - m.bits)))
+            for n in toxicity.STEMS:
+                if len(low) > n:
+                    code = np.array([int.from_bytes(low[:n], "little") ^ (n << 56)], np.uint64)
+                    seen.add(int(toxicity.mix(code)[0] >> np.uint64(64 - m.bits)))
+        if seen:
+            z = sum(m.weights[k] for k in seen)
+            f = lambda x: 1 / (1 + np.exp(-x))
+            out.append(1 - (1 - f(z + m.bias)) / (1 - f(m.bias)))
+    return 1 - (1 - m.leak) * np.prod([1 - p for p in out]), out
+
+
+def test_toxicity_query_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    m = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    want = {}
+    for i, t in texts.items():
+        whole, p = scored_by_brute_force(m, t)
+        if whole >= m.threshold:
+            alone = [k for k, x in enumerate(p) if 1 - (1 - m.leak) * (1 - x) >= m.threshold]
+            for k in alone or [k for k, x in enumerate(p) if x > 0 and x >= 0.5 * max(p)]:
+                want[i, k] = (round(whole, 5), round(p[k], 5))
+    got = {(r["doc_id"], r["sentence"]): (round(r["doc_score"], 5), round(r["sentence_score"], 5)) for r in queries.op8_toxicity(spark, SF).collect()}
+    assert got.keys() == want.keys() and want and all(np.allclose(got[k], want[k], atol=2e-5) for k in want)
+
+
+def test_each_strong_sentence_is_listed(spark):
+    m = toxicity.Model(np.zeros(1 << 20), -6.0, 0.3, 20)
+    _, f = toxicity.features(np.frombuffer(b"vile mean", np.uint8), *next(words(pa.array(["vile mean"]), fold=True, gap=toxicity.NONWORD))[2:6:2], np.array([4, 9]), 20)
+    m.weights[f[0]], m.weights[f[1]] = 12.0, 5.8
+    rows = toxicity.offending(spark.createDataFrame([("a-1", "Vile. Good. Mean. Good."), ("a-2", "Good.")], "doc_id string, text string"), m).collect()
+    assert [(r["doc_id"], r["sentence"]) for r in rows] == [("a-1", 0), ("a-1", 2)]
 
 
 def test_toxicity_of_odd_input(spark, odd, none):
