@@ -11,14 +11,15 @@ floor(weight * budget). It is served by passes over all its documents, the last
 order of their own, until the quota is met: the last document taken is the one that reaches it. So quotas are met to within one document, whatever the sizes, and a
 pass over part of a source is a fresh random part of it.
 
-*Result.* One row for each draw: doc_id, source, tokens, pass (from 0), start_token (in the pass).
+*Result.* One row for each draw: doc_id, source, tokens, pass (from 0), start_token (in the pass). ``mixed`` returns the rows of the documents themselves, each as often as it is drawn.
 
 *At scale.* Texts are read once, to count words. What is shuffled is (id, source, tokens): by source and block for the running sums, so a hot
 source is 16**digits groups. Totals by source come to the driver, a row a source; totals by block stay distributed.
 
 *Odd input.* A null source is the source ''. Texts that are null or without words have no tokens and are never drawn; rows with a null
-doc_id are never drawn either. Repeated rows are documents of their own, drawn together (equal ids have equal keys, then the order is by tokens). An empty table
-gives no draws. Only the named columns are read.
+doc_id are never drawn either. Ids may have any type and come back as they are. A very long text is one document, counted whole; a quota that ends in it is exceeded by what is left of it.
+Rows that share an id are documents of their own, each in its own source; in a source they come together (equal ids have equal keys; ties are in the order of ids, then tokens, and rows that tie
+in all of these stand for each other, of which ``mixed`` takes as many as are drawn). An empty table gives no draws. ``draws`` reads only the named columns; ``mixed`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import cut, fresh
+from quillspark.llm.shared import column, cut, fresh
 
 WORD = r"[^ \t\n\r\x0B\f]+"
 
@@ -44,9 +45,13 @@ def keyed(seed: int, *columns: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]))
 
 
+def source_of(docs: DataFrame, source: str) -> Column:
+    return F.coalesce(column(docs, source).cast("string"), F.lit(""))
+
+
 def counted(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 2) -> DataFrame:
     """(doc_id, source, tokens, k) of the documents that have tokens and an id, cut; k is the keyed order."""
-    d = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("source"), n_words(docs[text]).alias("tokens"))
+    d = docs.select(column(docs, doc_id).alias("doc_id"), source_of(docs, source).alias("source"), n_words(column(docs, text)).alias("tokens"))
     return cut(d.where("doc_id is not null and tokens > 0").withColumn("k", keyed(seed, "doc_id")))
 
 
@@ -103,12 +108,16 @@ def solve(totals: dict[str, int], target_entropy: float | None = 0.95, max_repet
     return Mix(a, budget, dict(zip(names, w)), {k: math.floor(v * budget) for k, v in zip(names, w)})
 
 
+def solved(t: DataFrame, target_entropy: float | None, max_repetition: float | None, budget: int | None) -> tuple[dict[str, int], Mix]:
+    """(token totals by source, mix) of ``counted`` documents."""
+    totals = {r["source"]: r["n"] for r in t.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    return totals, solve(totals, target_entropy, max_repetition, budget)
+
+
 def draws(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, budget: int | None = None, digits: int = 3, seed: int = 2) -> DataFrame:
     """(doc_id, source, tokens, pass, start_token) of every draw; see the module."""
     t = counted(docs, doc_id, source, text, seed)
-    totals = {r["source"]: r["n"] for r in t.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    mix = solve(totals, target_entropy, max_repetition, budget)
-    return drawn(t, totals, mix, digits, seed)
+    return drawn(t, *solved(t, target_entropy, max_repetition, budget), digits, seed)
 
 
 def drawn(t: DataFrame, totals: dict[str, int], mix: Mix, digits: int, seed: int) -> DataFrame:
@@ -137,14 +146,26 @@ def drawn(t: DataFrame, totals: dict[str, int], mix: Mix, digits: int, seed: int
     )
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """``docs`` with each row as often as its document is drawn (not at all, if it is not)."""
-    d = draws(docs, doc_id, source, text, **options)
-    # equal ids are drawn together, so each of their rows comes as often as any of them
-    times = d.groupBy(F.col("doc_id").alias("__id")).agg(F.countDistinct("pass").alias("__times"))
-    both = docs.join(times, docs[doc_id] == times["__id"]).where(n_words(docs[text]) > 0)
-    again = fresh(docs, "__pass")
-    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["__times"].cast("int"))).alias(again)).drop(again)
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, budget: int | None = None, digits: int = 3, seed: int = 2) -> DataFrame:
+    """``docs`` with each row as often as it is drawn (not at all, if it is not), so that quotas hold for the rows returned."""
+    t = counted(docs, doc_id, source, text, seed)
+    d = drawn(t, *solved(t, target_entropy, max_repetition, budget), digits, seed)
+    # rows with the same id, source and tokens stand for each other: there are n, and m draws of them
+    kinds = ("doc_id", "source", "tokens")
+    both = t.select(*kinds, F.lit(1).alias("n"), F.lit(0).alias("m")).union(d.select(*kinds, F.lit(0), F.lit(1)))
+    times = cut(both.groupBy(*kinds).agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("m > 0"))
+    key = (column(docs, doc_id) == times["doc_id"]) & (source_of(docs, source) == times["source"]) & (n_words(column(docs, text)) == times["tokens"])
+    columns = [column(docs, c) for c in docs.columns]
+    again = fresh(docs, "__again")
+    out = docs.join(times, key).where(times["m"] >= times["n"]).select(*columns, F.explode(F.sequence(F.lit(1), F.floor(times["m"] / times["n"]).cast("int"))).alias(again)).drop(again)
+    # a partial pass can end between such rows, once in a source: so many of them come once more
+    split = times.where("m % n > 0")
+    if split.isEmpty():
+        return out
+    place = Window.partitionBy(times["doc_id"], times["source"], times["tokens"]).orderBy(F.xxhash64(*[c for c, f in zip(columns, docs.schema.fields) if f.dataType.typeName() != "map"]))
+    more = docs.join(F.broadcast(split), (column(docs, doc_id) == split["doc_id"]) & (source_of(docs, source) == split["source"]) & (n_words(column(docs, text)) == split["tokens"]))
+    more = more.withColumn(again, F.row_number().over(place)).where(F.col(again) <= times["m"] % times["n"])
+    return out.union(more.select(*columns))
 
 
 #: draws() with its defaults, in SQL.

@@ -17,8 +17,9 @@ at the window ends in it, and windows gather their segments.
 *At scale.* Texts are read once, to count. The shuffles hold (id, source, tokens), the segments, and a row of counts for each
 window. Totals by source come to the driver. Nothing depends on how the input is partitioned.
 
-*Odd input.* As in mixing: a null source is '', rows without an id or without tokens are not packed, repeated rows are packed each
-(further rows of an id have places of their own in the order, away from the first), an empty table gives no windows.
+*Odd input.* As in mixing: a null source is '', rows without an id or without tokens are not packed, ids may have any type. Repeated rows are packed each
+(further rows of an id have places of their own in the order, away from the first; of equal turns the lesser source is served, and documents whose keys tie are in the order of ids, then
+tokens). A very long text fills as many windows as it takes. An empty table gives no windows. Only the named columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.mixing import WORD, counted, keyed
-from quillspark.llm.shared import cut
+from quillspark.llm.shared import column
 
 
 def served(turn: np.ndarray, weights: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -133,7 +134,7 @@ def segments(packed_: DataFrame) -> DataFrame:
 
 def materialised(packed_: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(window, n_tokens, text): the windows' words, joined by spaces. Of rows that share an id the least text is taken."""
-    words = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("t")).where("doc_id is not null and t is not null").groupBy("doc_id").agg(F.min("t").alias("t"))
+    words = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("t")).where("doc_id is not null and t is not null").groupBy("doc_id").agg(F.min("t").alias("t"))
     s = segments(packed_).join(words, "doc_id").select("window", "slot", "n", F.array_join(F.slice(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), (F.col("start") + 1).cast("int"), F.col("n").cast("int")), " ").alias("t"))
     return s.groupBy("window").agg(F.sum("n").alias("n_tokens"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "t"))), lambda x: x["t"]), " ").alias("text"))
 

@@ -68,6 +68,24 @@ def test_mixing_of_odd_input(odd, none):
     assert out.columns == odd.columns and out.where("doc_id = 2").count() == 2 and out.where("text is null").count() == 0
 
 
+def test_mixed_meets_quotas_for_repeated_ids(spark):
+    rng = np.random.default_rng(14)
+    rows = [("x", s, "w " * 70, k) for k, s in enumerate(["A", "B"])]  # one id in two sources
+    rows += [(f"d{k}", "A", "w " * 10, k) for k in range(30)] + [("r", "B", "w " * 5, k) for k in range(40)] + [(f"e{k}", "C", "w " * int(rng.integers(1, 9)), k) for k in range(20)]
+    df = spark.createDataFrame(rows, "`doc.id` string, source string, text string, `a``b` int").repartition(3)
+    tokens = {s: sum(len(t.split()) for _, x, t, _ in rows if x == s) for s in "ABC"}
+    for options in ({}, {"budget": 0, "max_repetition": 2.0}, {"budget": 333, "target_entropy": 0.99, "max_repetition": None}):
+        m = mixing.solve(tokens, **{"target_entropy": 0.95, "max_repetition": 4.0, **options})
+        out = mixing.mixed(df, doc_id="doc.id", **options)
+        drawn = mixing.draws(df, doc_id="doc.id", **options)
+        assert out.columns == df.columns
+        got = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.n_words("text")).alias("n")).collect()}
+        assert got == {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+        assert all(m.quotas[s] <= got[s] < m.quotas[s] + 70 for s in "ABC")
+        each = sorted(r["count"] for r in out.where("source = 'B' and `doc.id` = 'r'").groupBy("a`b".replace("`", "``").join("``")).count().collect())
+        assert not each or each[-1] - each[0] <= 1
+
+
 # --- packing
 
 
