@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quillspark.operators.durable import cut, dropped, shared_dir
 
-__all__ = ["column", "components", "cut", "dropped", "extended", "fresh", "numbered", "original", "selected", "shared_dir", "slots"]
+__all__ = ["attached", "column", "components", "cut", "dropped", "extended", "fresh", "numbered", "original", "selected", "shared_dir", "slots"]
 
 
 def quoted(name: str) -> str:
@@ -88,6 +88,21 @@ def _with_least(pairs: DataFrame, n: int, hot: int) -> DataFrame:
     return marked.where("m is null").drop("m").join(least.drop("n"), "k").unionByName(marked.where("m is not null"))
 
 
+def attached(df: DataFrame, table: DataFrame, key: str, hot: int = 1_000_000) -> DataFrame:
+    """``df`` joined on the left to ``table``, which has one row a key.
+
+    Keys with more than ``hot`` rows in ``df``, or a ten-thousandth of them if that is more (so 10,000 keys at most), meet theirs by a broadcast, without a shuffle.
+    """
+    n = df.count()
+    if n <= hot:
+        return df.join(table, key, "left")
+    hubs = cut(df.groupBy(key).count().where(F.col("count") > max(hot, n // 10_000)).select(key))
+    mark = fresh(df, "__hub")
+    marked = df.join(F.broadcast(hubs.withColumn(mark, F.lit(True))), key, "left")
+    few = F.broadcast(table.join(F.broadcast(hubs), key, "left_semi"))
+    return marked.where(F.col(mark).isNull()).drop(mark).join(table, key, "left").unionByName(marked.where(mark).drop(mark).join(few, key, "left"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, hot: int = 1_000_000) -> DataFrame:
     """(``node``, ``root``) of every node of ``edges``; the root is the smallest node that a path leads to.
 

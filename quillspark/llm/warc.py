@@ -1,7 +1,8 @@
 r"""WARC transaction assembly: request, response and metadata records joined through their concurrent-to identifiers.
 
 *Records.* ``read`` streams records from .warc and .warc.gz files (one gzip member a record or not); ``parsed`` takes raw records apart,
-in SQL expressions: header names are case-insensitive, lines may be folded, WARC-Concurrent-To may be repeated.
+in SQL expressions: header names are case-insensitive, lines may be folded, WARC-Concurrent-To may be repeated. Records, blocks and payloads are bytes all the way: a block is
+cut to its Content-Length in bytes, and only headers and fields are decoded, as UTF-8, with U+FFFD for what isn't.
 
 *Captures.* Concurrent-to links are followed in both directions, over any number of records; what they connect is one
 capture. Its row has the response's columns, its HTTP status, headers and payload, and nested: ``requests`` and ``metadata`` (arrays by record_id),
@@ -10,12 +11,14 @@ are connected, each has a row; any other record goes to the response that it nam
 several the least record_id), and what is left to the least of the responses. A capture without a response has a row with null response columns, under its least record_id.
 
 *At scale.* The links (pairs of identifiers) go through ``components``; requests and metadata, which are small, are grouped by the
-response that they belong to; payloads go through one shuffle, by record_id, that both drops repeated records and joins the rest.
+response that they belong to; payloads go through one shuffle, by record_id, that both drops repeated records and joins the rest. A record that more than ``hot`` others are
+connected with (a warcinfo record, say) is no skew: what is known of it reaches them by a broadcast.
 
 *Odd input.* Records with a null or empty record_id, and raw records that are null or don't begin with ``WARC/``, are left out. Repeated record_ids are
-one record, the least by (type, target, date, block). A link to a missing record still connects those that share it. Links to
-itself, nulls and repeats don't matter. A missing block is empty; a block without an empty line is all header. An empty
-table gives no captures. Extra columns of records are not read.
+one record, the least by (type, target, date, block). Nested records tie in nothing, as their identifiers differ. A link to a missing record still connects those that share it. Links to
+itself, nulls and repeats don't matter. A missing block is empty; a block without an empty line is all header; a record shorter than its Content-Length has what there is; headers and
+payloads may have any length. An empty table gives no captures. Extra columns of records are not read, whatever their names. ``from_pages``: a page without page_id has no records; a null url is an empty
+target URI, a null html an empty payload; page ids of any type will do; pages that are the same in all three columns are one.
 """
 
 from __future__ import annotations
@@ -27,24 +30,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import components, cut
+from quillspark.llm.shared import attached, column, components, cut
 
-RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, content_type string, block string"
+RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, content_type string, block binary"
 
 
-def parsed(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Columns of ``RECORD`` for each raw record; the block is taken as text."""
-    r = raw.select(raw[column].alias("raw")).where(F.col("raw").startswith("WARC/"))
-    cut_at = F.expr("locate('\\r\\n\\r\\n', raw)")
-    r = r.select(F.when(cut_at > 0, F.substring("raw", F.lit(1), cut_at - 1)).otherwise(F.col("raw")).alias("head"), F.when(cut_at > 0, F.expr("substring(raw, locate('\\r\\n\\r\\n', raw) + 4)")).otherwise("").alias("body"))
+#: Bytes in which the end of a header is looked for first; headers may be longer.
+NEAR = 1 << 16
+BREAK = "\r\n\r\n"
+
+
+def header_end(block: Column) -> Column:
+    """Place, from 1, of the empty line that ends a header in bytes; 0 if there is none."""
+    plain = lambda x: F.decode(x, "ISO-8859-1")  # noqa: E731  # a character a byte, so places are the same
+    at = F.instr(plain(F.substring(block, 1, NEAR)), BREAK)
+    return F.when((at > 0) | (F.octet_length(block) <= NEAR), at).otherwise(F.instr(plain(block), BREAK))
+
+
+def text_of(block: Column) -> Column:
+    return F.make_valid_utf8(block.cast("string"))
+
+
+def parsed(raw: DataFrame, name: str = "raw") -> DataFrame:
+    """Columns of ``RECORD`` for each raw record, given as bytes or as text."""
+    r = raw.select(column(raw, name).cast("binary").alias("raw")).where(F.substring("raw", 1, 5) == F.lit(b"WARC/"))
+    r = r.withColumn("at", header_end(F.col("raw")))
+    r = r.select(text_of(F.when(F.col("at") > 0, F.substring("raw", F.lit(1), F.col("at") - 1)).otherwise(F.col("raw"))).alias("head"), F.col("raw"), F.when(F.col("at") > 0, F.col("at") + 4).otherwise(F.octet_length("raw") + 1).alias("start"))
     # a folded line goes on with a space or tab
     lines = F.split(F.regexp_replace("head", "\r\n[ \t]+", " "), "\r\n")
     r = r.withColumn("fields", F.transform(F.filter(lines, lambda x: F.instr(x, ":") > 0), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v"))))
 
-    def one(name: str) -> Column:
-        return F.try_element_at(F.filter("fields", lambda f: f["k"] == name), F.lit(1))["v"]
+    def one(key: str) -> Column:
+        return F.try_element_at(F.filter("fields", lambda f: f["k"] == key), F.lit(1))["v"]
 
-    length = F.expr("try_cast(content_length as int)")
     return r.select(
         one("warc-record-id").alias("record_id"),
         F.lower(one("warc-type")).alias("type"),
@@ -52,26 +70,24 @@ def parsed(raw: DataFrame, column: str = "raw") -> DataFrame:
         one("warc-target-uri").alias("target_uri"),
         one("warc-date").alias("date"),
         one("content-type").alias("content_type"),
-        one("content-length").alias("content_length"),
-        "body",
-    ).select("record_id", "type", "concurrent_to", "target_uri", "date", "content_type", F.when(length.isNull() | (F.octet_length("body") <= length), F.col("body")).otherwise(F.regexp_replace("body", "(\r\n){1,2}\\z", "")).alias("block"))
+        F.substring("raw", F.col("start"), F.coalesce(F.greatest(one("content-length").try_cast("int"), F.lit(0)), F.octet_length("raw"))).alias("block"),
+    )
 
 
-def _http(block: Column) -> tuple[Column, Column, Column]:
-    """(first line, further header lines, payload) of an HTTP message."""
-    at = F.instr(block, "\r\n\r\n")
-    head = F.when(at > 0, F.substring(block, F.lit(1), at - 1)).otherwise(block)
-    return F.substring_index(head, "\r\n", 1), F.when(F.instr(head, "\r\n") > 0, F.substring(head, F.instr(head, "\r\n") + 2, F.length(head))).otherwise(""), F.when(at > 0, F.substring(block, at + 4, F.length(block))).otherwise("")
+def _http(block: Column, at: Column) -> tuple[Column, Column, Column]:
+    """(first line, further header lines, payload) of an HTTP message whose header ends ``at``."""
+    head = text_of(F.when(at > 0, F.substring(block, F.lit(1), at - 1)).otherwise(block))
+    return F.substring_index(head, "\r\n", 1), F.when(F.instr(head, "\r\n") > 0, F.substring(head, F.instr(head, "\r\n") + 2, F.length(head))).otherwise(""), F.when(at > 0, F.substring(block, at + 4, F.octet_length(block))).otherwise(F.lit(b""))
 
 
-def captures(records: DataFrame) -> DataFrame:
+def captures(records: DataFrame, hot: int = 1_000_000) -> DataFrame:
     """One nested row for each capture; see the module. ``records`` has the columns of ``RECORD``."""
-    r = records.select(*[records[c.split()[0]].alias(c.split()[0]) for c in RECORD.split(", ")]).where("record_id is not null and record_id <> ''")
+    r = records.select(*[column(records, c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in RECORD.split(", ")]).where("record_id is not null and record_id <> ''")
     is_response = F.coalesce(F.col("type") == "response", F.lit(False))
     # everything but the payloads is written once, so raw records are taken apart twice in all
     narrow = cut(r.select("record_id", "type", "concurrent_to", "target_uri", "date", F.when(~is_response, F.col("block")).alias("block")))
     links = narrow.select("record_id", F.explode("concurrent_to").alias("to")).where("to is not null and to <> ''")
-    group = components(links, "record_id", "to")
+    group = components(links, "record_id", "to", hot=hot)
     responses, rest = r.where(is_response), narrow.where(~is_response)
     # the response that has the rest of its capture: the least of those connected
     answered = group.join(narrow.where(is_response).select(F.col("record_id").alias("node")), "node", "left_semi")
@@ -81,16 +97,18 @@ def captures(records: DataFrame) -> DataFrame:
     named = links.join(rivals, F.col("to") == F.col("node")).select("record_id", F.lit(0).alias("rank"), F.col("to").alias("owner"))
     named = named.union(links.join(rivals, F.col("record_id") == F.col("node")).select(F.col("to").alias("record_id"), F.lit(1).alias("rank"), F.col("node").alias("owner")))
     near = named.groupBy(F.col("record_id").alias("via")).agg(F.min(F.struct("rank", "owner"))["owner"].alias("owner"))
-    named = named.union(links.join(near, F.col("to") == F.col("via")).select("record_id", F.lit(2).alias("rank"), "owner"))
+    by_way = attached(links.withColumnRenamed("to", "via"), near, "via", hot).where("owner is not null")
+    named = named.union(by_way.select("record_id", F.lit(2).alias("rank"), "owner"))
     owners = named.groupBy("record_id").agg(F.min(F.struct("rank", "owner"))["owner"].alias("owner"))
     small = rest.groupBy("record_id").agg(F.min(F.struct("type", "target_uri", "date", "block")).alias("x")).select("record_id", "x.*")
-    small = small.join(group.withColumnRenamed("node", "record_id"), "record_id", "left").join(heads, "root", "left").join(owners, "record_id", "left")
+    small = attached(small.join(group.withColumnRenamed("node", "record_id"), "record_id", "left"), heads, "root", hot).join(owners, "record_id", "left")
     small = small.withColumn("capture", F.coalesce("owner", "head", "root", "record_id"))
-    line, lines, payload = _http(F.coalesce("block", F.lit("")))
+    small = small.withColumn("block", F.coalesce("block", F.lit(b""))).withColumn("at", header_end(F.col("block")))
+    line, lines, payload = _http(F.col("block"), F.col("at"))
     small = small.select(
         "capture",
         F.when(F.col("type") == "request", F.struct("record_id", F.element_at(F.split(line, " "), 1).alias("method"), F.try_element_at(F.split(line, " "), F.lit(2)).alias("path"), lines.alias("headers"), payload.alias("body"))).alias("request"),
-        F.when(F.col("type") == "metadata", F.struct("record_id", "date", F.coalesce("block", F.lit("")).alias("fields"))).alias("metadata"),
+        F.when(F.col("type") == "metadata", F.struct("record_id", "date", text_of(F.col("block")).alias("fields"))).alias("metadata"),
         F.when(F.coalesce(~F.col("type").isin("request", "metadata"), F.lit(True)), F.col("record_id")).alias("other"),
         "target_uri",
         "date",
@@ -98,16 +116,17 @@ def captures(records: DataFrame) -> DataFrame:
     small = small.groupBy("capture").agg(F.sort_array(F.collect_list("request")).alias("requests"), F.sort_array(F.collect_list("metadata")).alias("metadata"), F.sort_array(F.collect_list("other")).alias("others"), F.min("target_uri").alias("uri_"), F.min("date").alias("date_"))
     big = responses.groupBy("record_id").agg(F.min(F.struct("target_uri", "date", "content_type", "block")).alias("x")).select("record_id", "x.*")
     both = big.join(small.withColumnRenamed("capture", "record_id"), "record_id", "full_outer")
-    line, lines, payload = _http(F.col("block"))
+    both = both.withColumn("at", header_end(F.col("block")))
+    line, lines, payload = _http(F.col("block"), F.col("at"))
     return both.select(
         "record_id",
         F.coalesce("target_uri", "uri_").alias("target_uri"),
         F.coalesce("date", "date_").alias("date"),
-        F.expr("try_cast(substring_index(substring_index(substring_index(block, '\\r\\n', 1), ' ', 2), ' ', -1) as int)").alias("status"),
+        F.substring_index(F.substring_index(line, " ", 2), " ", -1).try_cast("int").alias("status"),
         lines.alias("headers"),
-        payload.alias("payload"),
+        F.when(F.col("block").isNotNull(), payload).alias("payload"),
         F.try_element_at("requests", F.lit(1)).alias("request"),
-        F.coalesce("requests", F.array().cast("array<struct<record_id:string,method:string,path:string,headers:string,body:string>>")).alias("requests"),
+        F.coalesce("requests", F.array().cast("array<struct<record_id:string,method:string,path:string,headers:string,body:binary>>")).alias("requests"),
         F.coalesce("metadata", F.array().cast("array<struct<record_id:string,date:string,fields:string>>")).alias("metadata"),
         F.coalesce(F.sort_array(F.concat("others", F.transform(F.slice("requests", 2, F.greatest(F.size("requests") - 1, F.lit(0))), lambda x: x["record_id"]))), F.array().cast("array<string>")).alias("others"),
     )
@@ -120,26 +139,26 @@ def uuid_of(*parts: Column | str) -> Column:
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
-    """Raw records (``raw``) of the three kinds for each page (page_id, url, html), as a crawler would have written them."""
-    p = pages.select(pages["page_id"].cast("string").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html")).where("page_id is not null and url is not null")
-    response, date = uuid_of(F.lit("response"), "page_id"), F.lit("2024-01-01T00:00:00Z")
+    """Raw records (``raw``, bytes) of the three kinds for each page (page_id, url, html), as a crawler would have written them."""
+    p = pages.select(column(pages, "page_id").cast("string").alias("page_id"), F.coalesce(column(pages, "url"), F.lit("")).alias("url"), F.coalesce(column(pages, "html"), F.lit("")).alias("html")).where("page_id is not null")
+    p = p.withColumn("h", F.md5("html"))
+    response, date = uuid_of(F.lit("response"), "page_id", "url", "h"), F.lit("2024-01-01T00:00:00Z")
     path = F.regexp_replace("url", "^[a-z]+://[^/?#]*", "")
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
-    html = F.coalesce("html", F.lit(""))
     body = {
-        "response": F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html),
+        "response": F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"), "html"),
         "request": F.concat(F.lit("GET "), F.when(F.regexp_replace(path, "#.*$", "") == "", "/").otherwise(F.regexp_replace(path, "#.*$", "")), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")),
-        "metadata": F.concat(F.lit("charset-detected: utf-8\r\nfetchTimeMs: "), F.expr("cast(pmod(cast(page_id as bigint), 1000) as string)"), F.lit("\r\n")),
+        "metadata": F.concat(F.lit("charset-detected: utf-8\r\nfetchTimeMs: "), F.coalesce(F.expr("cast(pmod(try_cast(page_id as bigint), 1000) as string)"), F.lit("0")), F.lit("\r\n")),
     }
     made = []
     for kind, block in body.items():
-        ident = response if kind == "response" else uuid_of(F.lit(kind), "page_id")
+        ident = response if kind == "response" else uuid_of(F.lit(kind), "page_id", "url", "h")
         head = [F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: "), ident, F.lit("\r\nWARC-Date: "), date, F.lit("\r\nWARC-Target-URI: "), F.col("url")]
         if kind != "response":
             head += [F.lit("\r\nWARC-Concurrent-To: "), response]
         mime = "application/warc-fields" if kind == "metadata" else f"application/http; msgtype={kind}"
         made.append(F.concat(*head, F.lit(f"\r\nContent-Type: {mime}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block))
-    return p.select(F.explode(F.array(*made)).alias("raw"))
+    return p.select(F.explode(F.array(*made)).alias("raw")).select(F.col("raw").cast("binary").alias("raw"))
 
 
 def _stream(path: str) -> Iterator[bytes]:
@@ -200,38 +219,40 @@ def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of WARC files, one task a file, streamed; bytes that aren't UTF-8 are replaced."""
+    """Records of WARC files, one task a file, streamed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.column(0).to_pylist():
                 held, size = [], 0
                 for raw in records_of(_stream(p)):
-                    held.append(raw.decode(errors="replace"))
+                    held.append(raw)
                     size += len(raw)
                     if size > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["raw"])
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["raw"])
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["raw"])
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["raw"])
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return parsed(listed.mapInArrow(run, "raw string"))
+    return parsed(listed.mapInArrow(run, "raw binary"))
 
 
 def flat(captures_: DataFrame) -> DataFrame:
-    """Captures with the nested columns as JSON."""
-    return captures_.select("record_id", "target_uri", "date", "status", "headers", "payload", F.to_json("request").alias("request"), F.to_json("metadata").alias("metadata"), F.to_json("others").alias("others"))
+    """Captures with the nested columns as JSON (bodies of requests in base 64), the payload as text, and the MD5 of its bytes."""
+    return captures_.select("record_id", "target_uri", "date", "status", "headers", text_of(F.col("payload")).alias("payload"), F.md5("payload").alias("payload_md5"), F.to_json("request").alias("request"), F.to_json("metadata").alias("metadata"), F.to_json("others").alias("others"))
 
 
 #: flat(captures(parsed(from_pages(pages)))) in SQL.
 SQL = r"""
-WITH p AS (SELECT page_id::VARCHAR AS page_id, url, coalesce(html, '') AS html, md5('response:' || page_id) AS a, md5('request:' || page_id) AS b, md5('metadata:' || page_id) AS c FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL),
+WITH p AS (SELECT DISTINCT page_id::VARCHAR AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+k AS (SELECT *, ':' || page_id || ':' || url || ':' || md5(html) AS k FROM p),
+m AS (SELECT *, md5('response' || k) AS a, md5('request' || k) AS b, md5('metadata' || k) AS c FROM k),
 u AS (SELECT *, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS path, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
   '<urn:uuid:' || substr(a, 1, 8) || '-' || substr(a, 9, 4) || '-' || substr(a, 13, 4) || '-' || substr(a, 17, 4) || '-' || substr(a, 21, 12) || '>' AS ida,
   '<urn:uuid:' || substr(b, 1, 8) || '-' || substr(b, 9, 4) || '-' || substr(b, 13, 4) || '-' || substr(b, 17, 4) || '-' || substr(b, 21, 12) || '>' AS idb,
-  '<urn:uuid:' || substr(c, 1, 8) || '-' || substr(c, 9, 4) || '-' || substr(c, 13, 4) || '-' || substr(c, 17, 4) || '-' || substr(c, 21, 12) || '>' AS idc FROM p)
-SELECT ida AS record_id, url AS target_uri, '2024-01-01T00:00:00Z' AS date, 200 AS status, 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) AS headers, html AS payload,
+  '<urn:uuid:' || substr(c, 1, 8) || '-' || substr(c, 9, 4) || '-' || substr(c, 13, 4) || '-' || substr(c, 17, 4) || '-' || substr(c, 21, 12) || '>' AS idc FROM m)
+SELECT ida AS record_id, url AS target_uri, '2024-01-01T00:00:00Z' AS date, 200 AS status, 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) AS headers, html AS payload, md5(html) AS payload_md5,
   '{"record_id":"' || idb || '","method":"GET","path":"' || CASE WHEN path = '' THEN '/' ELSE path END || '","headers":"Host: ' || host || '","body":""}' AS request,
-  '[{"record_id":"' || idc || '","date":"2024-01-01T00:00:00Z","fields":"charset-detected: utf-8\r\nfetchTimeMs: ' || (page_id::BIGINT % 1000) || '\r\n"}]' AS metadata, '[]' AS others FROM u
+  '[{"record_id":"' || idc || '","date":"2024-01-01T00:00:00Z","fields":"charset-detected: utf-8\r\nfetchTimeMs: ' || coalesce(try_cast(page_id AS BIGINT) % 1000, 0) || '\r\n"}]' AS metadata, '[]' AS others FROM u
 """

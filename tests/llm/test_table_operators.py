@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import lattice, mixing, packing, queries, topk, warc
+from quillspark.llm.shared import components
 
 DATA = "/root/testdata"
 SF = f"{DATA}/sf0.001"
@@ -146,7 +147,7 @@ def test_packing_of_odd_input(spark, odd, none):
 
 
 def record(kind, ident, to=(), uri="http://x/", block="", date="2020-01-01T00:00:00Z"):
-    return (ident, kind, list(to) if to is not None else None, uri, date, "t", block)
+    return (ident, kind, list(to) if to is not None else None, uri, date, "t", block.encode() if isinstance(block, str) else block)
 
 
 def test_captures_of_all_kinds(spark):
@@ -170,11 +171,11 @@ def test_captures_of_all_kinds(spark):
     df = spark.createDataFrame(rows, warc.RECORD).withColumn("payload", F.lit("clash")).withColumn("root", F.lit("clash"))
     got = {r["record_id"]: r for r in warc.captures(df).collect()}
     assert set(got) == {"r1", "r3", "r4", "r5", "gone"}
-    assert got["r1"]["status"] == 404 and got["r1"]["payload"] == "body\r\n\r\nmore" and got["r1"]["headers"] == "A: b"
+    assert got["r1"]["status"] == 404 and got["r1"]["payload"] == b"body\r\n\r\nmore" and got["r1"]["headers"] == "A: b"
     assert got["r1"]["request"]["path"] == "/a" and [m["record_id"] for m in got["r1"]["metadata"]] == ["m0", "m1"]
     assert got["gone"]["status"] is None and got["gone"]["request"]["record_id"] == "q2" and got["gone"]["metadata"][0]["record_id"] == "m2"
     assert got["r3"]["request"]["method"] == "POST" and got["r3"]["others"] == ["c1"] and got["r4"]["request"] is None
-    assert got["r5"]["others"] == ["n1"] and got["r5"]["payload"] == ""
+    assert got["r5"]["others"] == ["n1"] and got["r5"]["payload"] == b""
     assert warc.captures(df.limit(0)).count() == 0
 
 
@@ -204,7 +205,7 @@ def test_parse_and_files(spark, tmp_path):
     df = spark.createDataFrame([(x,) for x in raw], "raw string")
     rows = {r["record_id"]: r for r in warc.parsed(df).collect()}
     assert rows["<a>"]["type"] == "response" and rows["<a>"]["target_uri"] == "http://x/ y" and rows["<b>"]["concurrent_to"] == ["<a>", "<c>"] and None in rows
-    made = [r["raw"].encode() for r in warc.from_pages(spark.read.parquet(f"{SF}/pages.parquet")).collect()]
+    made = [bytes(r["raw"]) for r in warc.from_pages(spark.read.parquet(f"{SF}/pages.parquet")).collect()]
     plain, packed = tmp_path / "x.warc", tmp_path / "x.warc.gz"
     plain.write_bytes(b"".join(m + b"\r\n\r\n" for m in made))
     packed.write_bytes(b"".join(gzip.compress(m + b"\r\n\r\n") for m in made))
@@ -213,6 +214,50 @@ def test_parse_and_files(spark, tmp_path):
         assert sorted(map(str, warc.read(spark, [str(p)]).collect())) == want
 
 
+def warc_record(kind, ident, block, to=(), length=None):
+    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + ident, *[b"WARC-Concurrent-To: " + x for x in to], b"Content-Length: %d" % (len(block) if length is None else length)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block
+
+
+def test_bytes_of_payloads_survive(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + bytes(range(256)) * 40 + b"\r\n\r\n\xff\xfe\r\n\r\n"
+    long = b"HTTP/1.1 200 OK\r\nX: " + b"y" * 200_000 + b"\r\n\r\n" + b"z" * 3_000_000 + b"\xc3"
+    blocks = {b"<png>": b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n" + png, b"<long>": long, b"<none>": b"", b"<head>": b"HTTP/1.1 204 No\xff"}
+    raw = [warc_record(b"response", k, v) for k, v in blocks.items()] + [warc_record(b"request", b"<q>", b"POST /\xff HTTP/1.1\r\n\r\n" + png, [b"<png>"])]
+    plain, packed = tmp_path / "x.warc", tmp_path / "x.warc.gz"
+    plain.write_bytes(b"".join(m + b"\r\n\r\n" for m in raw))
+    packed.write_bytes(b"".join(gzip.compress(m + b"\r\n\r\n") for m in raw))
+    short = warc_record(b"response", b"<short>", b"HTTP/1.1 200 OK\r\n\r\nab", length=999)
+    junk = [None, b"", b"WARC/1.1\r\nno", b"\xff\xfe", b"WARC/1.1\r\nWARC-Record-ID: <bad\xff>\r\nContent-Length: x\r\n\r\nab"]
+    df = spark.createDataFrame([(x,) for x in [*[m + b"\r\n\r\n" for m in raw], short, *junk]], "`raw.x` binary").withColumn("raw", F.lit("clash"))
+    for records in (warc.read(spark, [str(plain)]), warc.read(spark, [str(packed)]), warc.parsed(df, "raw.x")):
+        got = {r["record_id"]: r for r in warc.captures(records).collect()}
+        assert got["<png>"]["payload"] == png and got["<png>"]["request"]["body"] == png and got["<png>"]["request"]["path"] == "/\ufffd"
+        assert got["<long>"]["payload"] == b"z" * 3_000_000 + b"\xc3" and len(got["<long>"]["headers"]) == 200_003
+        assert got["<none>"]["payload"] == b"" and got["<head>"]["status"] == 204 and got["<head>"]["payload"] == b""
+    assert got["<short>"]["payload"] == b"ab" and "<bad\ufffd>" in got
+
+
+def test_pages_of_odd_input(spark):
+    rows = [("p1", None, None), ("p1", "http://x/", "<html>"), ("p1", "http://x/", "<html>"), ("p1", "http://x/", "other"), (None, "http://y/", "z"), ("", "nonsense", "")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").withColumn("a`b", F.lit(1)).withColumn("raw", F.lit(1)).withColumn("h.h", F.lit(1))
+    got = warc.captures(warc.parsed(warc.from_pages(df))).collect()
+    assert sorted((r["target_uri"], bytes(r["payload"]), r["request"]["path"]) for r in got) == [("", b"", "/"), ("http://x/", b"<html>", "/"), ("http://x/", b"other", "/"), ("nonsense", b"", "nonsense")]
+    assert warc.captures(warc.parsed(warc.from_pages(df.limit(0)))).count() == 0
+
+
+def test_a_hub_is_no_skew(spark):
+    n = 30_000
+    hub = spark.createDataFrame([record("warcinfo", "hub")], warc.RECORD)
+    pages = spark.range(n).selectExpr("concat('r', id) as record_id", "'response' as type", "array('hub') as concurrent_to", "'http://x/' as target_uri", "'d' as date", "'t' as content_type", "cast('HTTP/1.1 200 OK' as binary) as block")
+    asks = spark.range(n).selectExpr("concat('q', id) as record_id", "'request' as type", "array(concat('r', id), 'hub') as concurrent_to", "'http://x/' as target_uri", "'d' as date", "'t' as content_type", "cast(concat('GET /', id, ' HTTP/1.1') as binary) as block")
+    got = warc.captures(hub.union(pages).union(asks), hot=1000)
+    assert got.count() == n and got.where("size(requests) <> 1 or request.path <> concat('/', substr(record_id, 2))").count() == 0
+    assert got.where("size(others) > 0").select("record_id", "others").collect()[0][1] == ["hub"]
+    edges = spark.range(5000).selectExpr("id + 1 as a", "if(id < 3000, 0, id - 2900) as b")
+    assert sorted(map(tuple, components(edges, hot=10).collect())) == sorted(map(tuple, components(edges).collect()))
+
+
 # --- embeddings
 
 VECS = "vec_id bigint, embedding array<float>, label int"
