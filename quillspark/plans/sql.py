@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 W = r"list_filter(string_split_regex(line, '[\t\r ]+'), lambda x: x <> '' AND x NOT IN ('<s>', '</s>', '<unk>'))"
 Q = r"list_filter(string_split_regex(line, '[ \t\x0b\f\r]+'), lambda x: x <> '')"
 
@@ -128,4 +130,5 @@ def scored(p: str, m: str, source: str, order: int, bos: bool = True, eos: bool
 
 
 def with_(*parts: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n"
+    """The parts, each computed once however often it is used."""
+    return "WITH " + re.sub(r"(^|,\n)(\w+) AS \(", r"\1\2 AS MATERIALIZED (", ",\n".join(parts)) + "\n"
