@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.durable import cut
 from quillspark.operators.model import Model
+from quillspark.operators.skew import ranked
 
 
 def rest_max(model: Model) -> DataFrame:
@@ -32,7 +34,7 @@ def rest_lower(model: Model, lower: Sequence[Model]) -> DataFrame:
         if lower[n - 1].order != n:
             raise ValueError(f"lower model {n - 1} has order {lower[n - 1].order}")
         own = model.of(n)
-        s = S.score_windows(lower[n - 1].closed(), n, own.select(F.col("ngram").alias("window"))).select(F.col("window").alias("ngram"), F.col("log10_prob").alias("rest"))
+        s = S.score_windows(lower[n - 1], own.select(F.col("ngram").alias("window"))).select(F.col("window").alias("ngram"), F.col("log10_prob").alias("rest"))
         out = out.union(own.join(s, "ngram").select("order", "ngram", "log10_prob", "rest"))
     return out
 
@@ -40,44 +42,61 @@ def rest_lower(model: Model, lower: Sequence[Model]) -> DataFrame:
 def codebook(values: DataFrame, column: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """(``by``, code, centre): bins of equal frequency, each the mean of its values; an empty one has the centre of the one before (-inf at first).
 
-    Ranks come from counts of distinct values, so what is sorted in one group is the distinct values, not all.
+    Ranks come from counts of distinct values, sorted by range over all tasks.
     """
     if bins < 1:
         raise ValueError("at least one bin")
     d = values.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("v")
-    n = Window.partitionBy(*by)
-    d = d.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(n)).withColumn("first", F.col("upto") - F.col("c"))
+    d = cut(ranked(d, [*by, "v"], "before", "c"))
+    whole = d.groupBy(*by).agg(F.min("before").alias("start"), F.sum("c").alias("n"))
+    d = (d.join(whole, list(by)) if by else d.crossJoin(whole)).withColumn("first", F.col("before") - F.col("start")).withColumn("upto", F.col("first") + F.col("c"))
     # bin i holds the ranks floor(n i / bins) to floor(n (i + 1) / bins) - 1; a run of equal values may spread over several
     bin_of = lambda rank: F.expr(f"((({rank}) + 1) * {bins} + n - 1) div n - 1")
     d = d.withColumn("code", F.explode(F.sequence(bin_of("first"), bin_of("upto - 1"))))
     share = F.least(F.col("upto"), F.expr(f"n * (code + 1) div {bins}")) - F.greatest(F.col("first"), F.expr(f"n * code div {bins}"))
     g = d.withColumn("share", share).where("share > 0").groupBy(*by, "code").agg((F.sum(F.col("v") * F.col("share")) / F.sum("share")).alias("mean"))
-    groups = d.select(*by).distinct() if by else d.select(F.lit(1).alias("__one")).limit(1)
-    every = groups.crossJoin(d.sparkSession.range(bins).select(F.col("id").alias("code")))
+    every = whole.select(*by).crossJoin(d.sparkSession.range(bins).select(F.col("id").alias("code")))
     full = every.join(g, [*by, "code"], "left")
     keep = Window.partitionBy(*by).orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
     return full.select(*by, F.col("code").cast("int"), F.coalesce(F.last("mean", ignorenulls=True).over(keep), F.lit(float("-inf"))).alias("centre"))
 
 
-def encoded(values: DataFrame, column: str, book: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``values`` with ``code`` and ``decoded``: the nearest centre, the upper one of two as near. The book (at most 2**25 centres a group) is one array a group."""
-    centres = book.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("code", "centre"))), lambda x: x["centre"]).alias("__c"))
-    v = values.join(F.broadcast(centres), list(by)) if by else values.crossJoin(F.broadcast(centres))
+def below(df: DataFrame, x: Column, array: str, most: int, name: str) -> DataFrame:
+    """``df`` with the number of elements of an ascending array, of at most ``most``, that are under x, by halving."""
+    df = df.withColumn("__x", F.struct(F.lit(0).alias("lo"), F.size(array).alias("hi")))
+    for _ in range(max(1, most).bit_length()):
+        mid = F.expr("(__x.lo + __x.hi) div 2").cast("int")
+        open_ = F.col("__x.lo") < F.col("__x.hi")
+        less = F.coalesce(F.get(array, mid) < x, F.lit(False))
+        df = df.withColumn("__x", F.struct(F.when(open_ & less, mid + 1).otherwise(F.col("__x.lo")).alias("lo"), F.when(open_ & ~less, mid).otherwise(F.col("__x.hi")).alias("hi")))
+    return df.withColumn(name, F.col("__x.lo")).drop("__x")
+
+
+def encoded(values: DataFrame, column: str, book: DataFrame, by: Sequence[str] = (), cell: int = 1024) -> DataFrame:
+    """``values`` with ``code`` and ``decoded``: the nearest centre, the upper one of two as near.
+
+    A book is looked up in two steps: the first centres of its cells of ``cell`` codes, which are broadcast (of 2**25 centres 2**15), tell the cell; the cell's
+    own centres and the next one come by a join on it. A book of one cell is broadcast whole.
+    """
+    book = cut(book.withColumn("__cell", F.expr(f"code div {cell}").cast("int")))
+    most = book.agg(F.max("code")).first()[0]
+    listed = lambda of: F.transform(F.sort_array(F.collect_list(of)), lambda x: x["centre"])
+    cells = book.groupBy(*by, "__cell").agg(listed(F.struct("code", "centre")).alias("__own"))
+    follow = book.where(f"code % {cell} = 0 and code > 0").select(*by, (F.col("__cell") - 1).alias("__cell"), F.array("centre").alias("__next"))
+    cells = cells.join(follow, [*by, "__cell"], "left").select(*by, "__cell", F.concat("__own", F.coalesce("__next", F.array().cast("array<double>"))).alias("__c"))
     x = F.col(column)
-    # centres ascend; the first that is not below the value, by halving
-    lo, hi = F.lit(0), F.size("__c")
-    v = v.withColumn("__lo", lo).withColumn("__hi", hi)
-    for _ in range(26):
-        mid = F.expr("(__lo + __hi) div 2").cast("int")
-        below = (F.col("__lo") < F.col("__hi")) & (F.element_at("__c", F.least(mid, F.size("__c") - 1) + 1) < x)
-        new = F.struct(F.when(below, mid + 1).otherwise(F.col("__lo")).alias("l"), F.when((F.col("__lo") < F.col("__hi")) & ~below, mid).otherwise(F.col("__hi")).alias("h"))
-        v = v.withColumn("__x", new).withColumn("__lo", F.col("__x.l")).withColumn("__hi", F.col("__x.h")).drop("__x")
-    up = F.least(F.col("__lo"), F.size("__c") - 1)
-    down = F.greatest(F.col("__lo") - 1, F.lit(0))
-    at = lambda i: F.element_at("__c", i + 1)
-    code = F.when(F.col("__lo") == 0, 0).when(F.col("__lo") >= F.size("__c"), F.size("__c") - 1).when(x - at(down) < at(up) - x, down).otherwise(up)
-    return v.withColumn("code", code.cast("int")).withColumn("decoded", at(F.col("code"))).drop("__c", "__lo", "__hi")
+    if most is None or most < cell:
+        v = values.join(F.broadcast(cells), list(by)) if by else values.crossJoin(F.broadcast(cells))
+    else:
+        firsts = book.where(f"code % {cell} = 0").groupBy(*by).agg(listed(F.struct("code", "centre")).alias("__f"))
+        v = values.join(F.broadcast(firsts), list(by)) if by else values.crossJoin(F.broadcast(firsts))
+        v = below(v, x, "__f", most // cell + 1, "__n").withColumn("__cell", F.greatest(F.col("__n") - 1, F.lit(0))).drop("__f", "__n").join(cells, [*by, "__cell"])
+    v = below(v, x, "__c", cell + 1, "__lo")
+    up, down = F.least(F.col("__lo"), F.size("__c") - 1), F.greatest(F.col("__lo") - 1, F.lit(0))
+    at = lambda i: F.get("__c", i)
+    place = F.when(F.col("__lo") == 0, 0).when(F.col("__lo") >= F.size("__c"), F.size("__c") - 1).when(x - at(down) < at(up) - x, down).otherwise(up)
+    v = v.withColumn("__p", place.cast("int"))
+    return v.withColumn("code", (F.col("__cell") * cell + F.col("__p")).cast("int")).withColumn("decoded", at(F.col("__p"))).select(*values.columns, "code", "decoded")
 
 
 def codebooks(model: Model, prob_bits: int, backoff_bits: int) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.skew import ranked
 
 
 class BadDiscountError(ValueError):
@@ -29,9 +30,10 @@ def sentences(df: DataFrame, column: str = "text", keep: Sequence[str] = (), ski
 
 def raw_counts(sents: DataFrame, order: int) -> DataFrame:
     """(ngram, count) of the padded n-grams of ``words``; partial sums before the one shuffle."""
-    # the padded words are a column of their own: within the n-grams' lambda an expression would be computed for each of them
     p = sents.select(T.padded(F.col("words"), order).alias("p"))
-    return p.select(F.explode(T.ngrams(F.col("p"), order)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("count"))
+    # places are exploded rather than n-grams: what joins the words is compiled then
+    at = p.select("p", F.explode(F.sequence(F.lit(0), F.size("p") - order)).alias("i"))
+    return at.select(F.concat_ws(" ", *[F.get("p", F.col("i") + k) for k in range(order)]).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("count"))
 
 
 def token_stats(sents: DataFrame) -> DataFrame:
@@ -45,20 +47,13 @@ def token_stats(sents: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
     """(word, id): ids by first occurrence in the order (document, place), after <unk> 0, <s> 1 and </s> 2.
 
-    The place is found by partial minima, and ranks by range: the words are range-partitioned by place, and each partition starts at
-    the sum of those before it, so no single task sees the whole vocabulary.
+    The place is found by partial minima, and ranks by range: each partition of the sorted words starts at the number of those before it, so no single task
+    sees the whole vocabulary.
     """
-    from pyspark.sql import Window
-
     w = docs.where(F.col(column).isNotNull()).select(F.col(doc_id).alias("d"), F.posexplode(T.train_words(F.regexp_replace(column, "\n", " "))).alias("p", "word"))
-    first = w.groupBy("word").agg(F.min(F.struct("d", "p")).alias("at"))
-    # documents' numbers of new words, summed, then ranks within the document
-    fresh = first.select("word", F.col("at.d").alias("d"), F.col("at.p").alias("p"))
-    per = fresh.groupBy("d").agg(F.count("*").alias("n"))
-    before = per.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("d", "base")
-    ranked = fresh.withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy("p"))).join(before, "d")
+    first = w.groupBy("word").agg(F.min(F.struct("d", "p")).alias("at")).select("word", F.col("at.d").alias("d"), F.col("at.p").alias("p"))
     special = docs.sparkSession.createDataFrame([(T.UNK, 0), (T.BOS, 1), (T.EOS, 2)], "word string, id bigint")
-    return special.union(ranked.select("word", (F.col("base") + F.col("r") + 2).cast("bigint").alias("id")))
+    return special.union(ranked(first, ["d", "p", "word"], "r").select("word", (F.col("r") + 3).cast("bigint").alias("id")))
 
 
 def adjusted(raw: DataFrame, order: int) -> dict[int, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.durable import cut
+from quillspark.operators.skew import attached
 
 MODES = ("copy", "single", "multiple", "union")
 
@@ -44,24 +46,36 @@ def single(ngrams: DataFrame, vocab: DataFrame, context: bool = False) -> DataFr
     return ngrams.join(bad, "ngram", "left_anti")
 
 
+def pairs(ngrams: DataFrame, vocab: DataFrame, context: bool = False, hot: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """((sentence, ngram) of n-grams with words other than tags that a sentence has all of, (ngram) of those that are tags alone).
+
+    An n-gram meets the sentences that have its rarest word, and only there are its other words looked up, among the sentence's own.
+    """
+    grams = cut(ngrams.select("ngram", F.array_distinct(F.filter(tested(context=context), lambda w: ~T.is_tag(w))).alias("ws")).distinct())
+    vocab = cut(vocab.select("sentence", "word").distinct())
+    often = vocab.groupBy("word").agg(F.count("*").alias("often"))
+    some = attached(grams.where(F.size("ws") > 0).select("ngram", "ws", F.explode("ws").alias("word")), often, "word", hot)
+    # a word that no sentence has settles it
+    rare = some.groupBy("ngram").agg(F.first("ws").alias("ws"), F.min(F.struct("often", "word")).alias("rare"), F.count("*").alias("n"), F.count("often").alias("known")).where("n = known")
+    met = rare.select("ngram", "ws", F.col("rare.word").alias("word")).join(vocab, "word")
+    whole = vocab.groupBy("sentence").agg(F.collect_set("word").alias("have"))
+    good = met.where(F.size("ws") == 1).select("sentence", "ngram").union(met.where(F.size("ws") > 1).join(whole, "sentence").where(F.size(F.array_except("ws", "have")) == 0).select("sentence", "ngram"))
+    return good, grams.where(F.size("ws") == 0).select("ngram")
+
+
 def multiple(ngrams: DataFrame, vocab: DataFrame, context: bool = False) -> DataFrame:
     """(sentence, ngram ...) for every sentence of ``vocab`` (sentence, word) that has all words of the n-gram, tags aside.
 
     N-grams of tags alone belong to every sentence.
     """
-    words = ngrams.select("ngram", F.array_distinct(F.filter(tested(context=context), lambda w: ~T.is_tag(w))).alias("ws")).distinct()
-    some = words.where(F.size("ws") > 0).select("ngram", F.size("ws").alias("need"), F.explode("ws").alias("word"))
-    pairs = some.join(vocab, "word").groupBy("sentence", "ngram").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need").select("sentence", "ngram")
-    tags = words.where(F.size("ws") == 0).select("ngram").crossJoin(vocab.select("sentence").distinct()).select("sentence", "ngram")
-    return pairs.union(tags).join(ngrams, "ngram")
+    good, tags = pairs(ngrams, vocab, context)
+    return good.union(tags.crossJoin(vocab.select("sentence").distinct()).select("sentence", "ngram")).join(ngrams, "ngram")
 
 
 def union(ngrams: DataFrame, vocab: DataFrame, context: bool = False) -> DataFrame:
     """N-grams that some one sentence has all words of, tags aside."""
-    words = ngrams.select("ngram", F.array_distinct(F.filter(tested(context=context), lambda w: ~T.is_tag(w))).alias("ws")).distinct()
-    some = words.where(F.size("ws") > 0).select("ngram", F.size("ws").alias("need"), F.explode("ws").alias("word"))
-    good = some.join(vocab, "word").groupBy("sentence", "ngram").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need").select("ngram")
-    return ngrams.join(good.union(words.where(F.size("ws") == 0).select("ngram")).distinct(), "ngram", "left_semi")
+    good, tags = pairs(ngrams, vocab, context)
+    return ngrams.join(good.select("ngram").union(tags).distinct(), "ngram", "left_semi")
 
 
 def phrase_index(phrases: DataFrame) -> DataFrame:

@@ -96,10 +96,10 @@ def sentences(spark: SparkSession, path: str) -> DataFrame:
 
 def sentence_phrases(spark: SparkSession, path: str) -> DataFrame:
     """(sentence, words): phrases between TAB or VT, one sentence a line; lines without words are no sentences."""
-    from pyspark.sql import Window
+    from quillspark.operators.skew import ranked
 
     p = read(spark, path).select("line_no", F.explode(F.split("value", "[\\t\\x0B]")).alias("p")).select("line_no", F.filter(F.split("p", " "), lambda x: x != "").alias("words")).where(F.size("words") > 0)
-    ids = p.select("line_no").distinct().withColumn("sentence", F.row_number().over(Window.orderBy("line_no")) - 1)
+    ids = ranked(p.select("line_no").distinct(), ["line_no"], "sentence")
     return p.join(ids, "line_no").select("sentence", "words")
 
 
