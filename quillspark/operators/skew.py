@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.durable import cut
 
-#: Rows of small tables that are broadcast without asking for their bytes: a word or an id each.
-FEW = 200_000
-
-
-def attached(df: DataFrame, table: DataFrame, key: str, hot: int = 1_000_000) -> DataFrame:
+def attached(df: DataFrame, table: DataFrame, key: str, hot: int = 1_000_000, n: int | None = None) -> DataFrame:
     """``df`` joined on the left to ``table``, which has one row a key.
 
     Keys with more than ``hot`` rows in ``df``, or a ten-thousandth of them if that is more (so 10,000 keys at most), meet theirs by a
-    broadcast, without a shuffle.
+    broadcast, without a shuffle. ``n``: how many rows ``df`` has at most, if that is known; else they are counted.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     if n <= hot:
         return df.join(table, key, "left")
     hubs = cut(df.groupBy(key).count().where(F.col("count") > max(hot, n // 10_000)).select(key))
