@@ -97,11 +97,11 @@ def captures(records: DataFrame, hot: int = 1_000_000) -> DataFrame:
     named = links.join(rivals, F.col("to") == F.col("node")).select("record_id", F.lit(0).alias("rank"), F.col("to").alias("owner"))
     named = named.union(links.join(rivals, F.col("record_id") == F.col("node")).select(F.col("to").alias("record_id"), F.lit(1).alias("rank"), F.col("node").alias("owner")))
     near = named.groupBy(F.col("record_id").alias("via")).agg(F.min(F.struct("rank", "owner"))["owner"].alias("owner"))
-    by_way = attached(links.withColumnRenamed("to", "via"), near, "via", hot).where("owner is not null")
+    by_way = attached(links.withColumnRenamed("to", "via"), near, "via", hot, links.count()).where("owner is not null")
     named = named.union(by_way.select("record_id", F.lit(2).alias("rank"), "owner"))
     owners = named.groupBy("record_id").agg(F.min(F.struct("rank", "owner"))["owner"].alias("owner"))
     small = rest.groupBy("record_id").agg(F.min(F.struct("type", "target_uri", "date", "block")).alias("x")).select("record_id", "x.*")
-    small = attached(small.join(group.withColumnRenamed("node", "record_id"), "record_id", "left"), heads, "root", hot).join(owners, "record_id", "left")
+    small = attached(small.join(group.withColumnRenamed("node", "record_id"), "record_id", "left"), heads, "root", hot, narrow.count()).join(owners, "record_id", "left")
     small = small.withColumn("capture", F.coalesce("owner", "head", "root", "record_id"))
     small = small.withColumn("block", F.coalesce("block", F.lit(b""))).withColumn("at", header_end(F.col("block")))
     line, lines, payload = _http(F.col("block"), F.col("at"))
