@@ -10,13 +10,14 @@ of two vectors in one cell, at least one being stored there, the exact cosine de
 vector in it, so candidates need no join; in a cell only a star of each group found goes on, so thousands of copies make no
 quadratic number of rows. The stars are joined by ``components``.
 
-*At scale.* The shuffle is tables x (1 + probes) x (4 bytes a dimension + 24) a vector, each cell by itself; nothing is broadcast. A
-cell holds what is near in 8 random directions; with more vectors ``width`` should shrink like n**(-1/8) to keep cells as full as they
-are, and tables grow. A cell of more than ``cell_cap`` rows is compared in blocks, none being left out.
+*At scale.* The shuffle is tables x (1 + probes) x (4 bytes a dimension + 24) a vector, each cell by itself; nothing is broadcast. Width, probes and tables follow from the number n of entries
+(``planned``): for each width and number of probes, the share of made-up pairs at the threshold that meet in one table gives the tables that ``recall`` takes, and a sample of 2048 entries tells how
+full cells get; the choice with the least work is taken. So the width shrinks and tables grow with n, and recall stays. A cell of more than ``cell_cap`` rows is
+compared in blocks, once, none being left out; one that would be too much for one task (over ``heavy`` rows, as a sample tells; no smaller table has one) is dealt out in chunks, each pair of which is a task.
 
 *Odd input.* Null ids, null, empty or zero vectors, vectors with a null, NaN or infinite number, and vectors whose length differs from
-the most common one are in no group. Rows with one id are one: each vector counts for it. Empty tables give no rows. Only the named
-columns are read.
+the most common one (of equally common ones the least) are in no group. Rows with one id are one: each vector counts for it. Ids of any type come back as they are; the least is the first in their
+order. Pairs exactly at the threshold match. Empty tables give no rows. Only the named columns are read, whatever the names of others.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import components, cut
+from quillspark.llm.shared import column, components, cut, numbered, original, slots
 from quillspark.llm.textarrays import mix
 
 
@@ -138,50 +139,98 @@ def _normal(dims: int):
     return run
 
 
-def _cells(dims: int, tables: int, probes: int, width: float, seed: int):
+def _cells(dims: int, tables: int, probes: int, width: float, seed: int, heavy: dict[int, int] | None = None):
+    """Entries by cell. ``heavy``: the number of chunks of the cells that are dealt out; a row goes to every pair of chunks that has its own."""
+    known = np.array(sorted(heavy or ()), np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x = _vectors(b.column(1), dims).astype(np.float64)
             for _, cell, stored in placed(x, tables, probes, width, seed):
-                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0), b.column(1), pa.array(np.full(len(x), stored))], ["cell", "id", "v", "stored"])
+                whole = np.ones(len(cell), bool)
+                if len(known):
+                    whole = known[np.minimum(np.searchsorted(known, cell), len(known) - 1)] != cell
+                    with np.errstate(over="ignore"):
+                        deal = mix(b.column(0).to_numpy().view(np.uint64) + np.uint64(seed))
+                    for k in np.unique(cell[~whole]):
+                        at, n = np.flatnonzero(cell == k), heavy[int(k)]
+                        mine = (deal[at] % np.uint64(n)).astype(np.int64)
+                        rows = b.take(pa.array(at))
+                        for other in range(n):
+                            with np.errstate(over="ignore"):
+                                pair = mix(np.int64(k).view(np.uint64) + (np.minimum(mine, other) * n + np.maximum(mine, other) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), rows.column(0), rows.column(1), pa.array(np.full(len(at), stored))], ["cell", "id", "v", "stored"])
+                rows = b if whole.all() else b.take(pa.array(np.flatnonzero(whole)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[whole]), rows.column(0), rows.column(1), pa.array(np.full(rows.num_rows, stored))], ["cell", "id", "v", "stored"])
 
     return run
 
 
+def least_of(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """``label`` (the least number of each group so far) after the pairs (a, b) have joined groups."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def linked(ids: np.ndarray, x: np.ndarray, stored: np.ndarray, threshold: float, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (id, another id) of what matches connect in one cell, all pairs compared that have a stored one; in blocks if it is large."""
+    """Stars (id, another id) of what matches connect in one cell, all pairs compared once that have a stored one; in blocks if it is large."""
     order = np.lexsort((~stored, ids))
     ids, x, stored = ids[order], x[order], stored[order]
     n = len(ids)
     label = np.arange(n)
-    if n <= block:
-        near = x @ x.T >= threshold
-        near &= stored[:, None] | stored[None, :]
-        np.fill_diagonal(near, True)
-        while True:
-            new = np.where(near, label[None, :], n).min(1)
-            new = np.minimum(new, new[new])
-            if (new == label).all():
-                break
-            label = new
-    else:
-        while True:
-            new = label.copy()
-            for a in range(0, n, block):
-                for b in range(0, n, block):
-                    near = x[a : a + block] @ x[b : b + block].T >= threshold
-                    near &= stored[a : a + block, None] | stored[None, b : b + block]
-                    new[a : a + block] = np.minimum(new[a : a + block], np.where(near, label[None, b : b + block], n).min(1))
-            new = np.minimum(new, new[new])
-            if (new == label).all():
-                break
-            label = new
+    block = min(block, 1024)
+    for a in range(0, n, block):
+        for b in range(a, n, block):
+            near = x[a : a + block] @ x[b : b + block].T >= threshold
+            near &= stored[a : a + block, None] | stored[None, b : b + block]
+            near &= label[a : a + block, None] != label[None, b : b + block]
+            i, j = np.nonzero(near)
+            if len(i):
+                label = least_of(n, a + i, b + j, label)
     keep = ids != ids[label]
     return ids[keep], ids[label[keep]]
 
 
+def planned(n: int, dims: int, threshold: float, recall: float, sample: np.ndarray, seed: int) -> tuple[float, int, int]:
+    """(width, probes, tables) with the least work for n entries, of which ``sample`` are some; see the module.
+
+    Work is counted in comparisons of a pair: to send a row to a cell is worth 300.
+    """
+    rng = np.random.Generator(np.random.PCG64([seed, 99]))
+    a = rng.normal(size=(2000, dims))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1)[:, None] * a
+    b = threshold * a + np.sqrt(max(0.0, 1 - threshold * threshold)) * b / np.maximum(np.linalg.norm(b, axis=1), 1e-12)[:, None]
+    best = None
+    for width in 0.7 * 2.0 ** (-np.arange(9) / 4):
+        for probes in (0, 2, 6, 16):
+            mine, other = list(placed(a, 1, probes, width, seed)), list(placed(b, 1, probes, width, seed))
+            met = np.zeros(len(a), bool)
+            for _, cell, _ in mine:
+                met |= cell == other[0][1]
+            for _, cell, _ in other:
+                met |= cell == mine[0][1]
+            p = min(max(float(met.mean()) - 0.02, 1e-3), 1 - 1e-6)  # less what 2000 pairs may be off
+            tables = max(2, int(np.ceil(np.log(1 - recall) / np.log(1 - p))))
+            cell = next(placed(sample.astype(np.float64), 1, 0, width, seed))[1] if len(sample) else np.zeros(0, np.int64)
+            _, size = np.unique(cell, return_counts=True)
+            full = float((size * (size - 1)).sum()) / max(1, len(cell) * (len(cell) - 1)) * n  # others in an entry's cell
+            work = tables * (1 + probes) * (300 + full)
+            if best is None or work < best[0]:
+                best = work, float(width), probes, tables
+    return best[1:]
+
+
 def _stars(dims: int, threshold: float, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -221,17 +270,43 @@ def _stars(dims: int, threshold: float, block: int):
     return run
 
 
-def groups(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, tables: int = 4, probes: int = 2, width: float = 0.5, cell_cap: int = 4096, seed: int = 9) -> DataFrame:
-    """(``vec_id``, ``duplicate_of``) of each vector that nearly equals an earlier one of its group; see the module."""
-    e = embeddings.select(embeddings[vec_id].cast("bigint").alias("id"), embeddings[embedding].cast("array<float>").alias("e")).where("id is not null and e is not null")
+def groups(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, tables: int = 0, probes: int = -1, width: float = 0.0, cell_cap: int = 1024, seed: int = 9, recall: float = 0.98, heavy: int = 1 << 16) -> DataFrame:
+    """(``vec_id``, ``duplicate_of``) of each vector that nearly equals an earlier one of its group; see the module.
+
+    ``tables`` and ``width`` of 0 and ``probes`` under 0 follow from the number of entries.
+    """
+    e, names = numbered(embeddings.select(column(embeddings, vec_id).alias("id"), column(embeddings, embedding).cast("array<float>").alias("e")).where("id is not null and e is not null"), "id")
     most = e.groupBy(F.size("e").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
     if most is None:
-        return embeddings.sparkSession.createDataFrame([], "vec_id bigint, duplicate_of bigint")
+        kind = "bigint" if names is None else names.schema["value"].dataType.simpleString()
+        return embeddings.sparkSession.createDataFrame([], f"vec_id {kind}, duplicate_of {kind}")
     dims = most["n"]
     all_ = cut(e.mapInArrow(_normal(dims), "id bigint, v binary"))
-    distinct = all_.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-    rows = distinct.mapInArrow(_cells(dims, tables, probes, width, seed), "cell bigint, id bigint, v binary, stored boolean")
+    distinct = cut(all_.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    n = distinct.count()
+    some = distinct.orderBy(slots("id", F.lit(seed))).limit(2048).collect()
+    w, p, t = planned(n, dims, threshold, recall, np.frombuffer(b"".join(bytes(r["v"]) for r in some), np.float32).reshape(-1, dims), seed)
+    width, probes, tables = width or w, p if probes < 0 else probes, tables or t
+    split: dict[int, int] = {}
+    heavy = max(heavy, n * tables * (1 + probes) // 100_000)
+    kinds = "cell bigint, id bigint, v binary, stored boolean"
+    if n > heavy:
+        one_in = max(1, n >> 17)
+        rows = distinct.where(F.pmod(slots("id", F.lit(seed)), F.lit(one_in)) == 0).mapInArrow(_cells(dims, tables, probes, width, seed), kinds)
+        full = rows.groupBy("cell").agg((F.count("*") * one_in).alias("size")).where(F.col("size") > heavy).collect()
+        split = {r["cell"]: -(-2 * r["size"] // heavy) for r in full}
+    rows = distinct.mapInArrow(_cells(dims, tables, probes, width, seed, split), kinds)
     near = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_stars(dims, threshold, cell_cap), "a bigint, b bigint")
     same = all_.join(distinct.withColumnRenamed("id", "least"), "v").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    c = components(near.union(same))
-    return c.where("node <> root").select(F.col("node").alias("vec_id"), F.col("root").alias("duplicate_of"))
+    c = components(near.union(same)).where("node <> root").select(F.col("node").alias("vec_id"), F.col("root").alias("duplicate_of"))
+    return original(c, names, ["vec_id", "duplicate_of"])
+
+
+#: groups(embeddings) in SQL: all pairs, and what they connect.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM {0}),
+n AS MATERIALIZED (SELECT id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
+m AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND list_dot_product(a.e, b.e) >= 0.95 * a.l * b.l),
+r(id, root) AS (SELECT a, a FROM m UNION SELECT m.b, r.root FROM r JOIN m ON r.id = m.a)
+SELECT id AS vec_id, min(root) AS duplicate_of FROM r GROUP BY id HAVING min(root) < id
+"""

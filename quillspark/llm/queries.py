@@ -67,11 +67,20 @@ def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.groups(_table(spark, sf_dir, "embeddings"))
 
 
+def near_copies_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two near copies of each vector added, one of thrice the length and one a little off, so that there is something to find on any table."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scaled = e.select(F.col("vec_id") + 1_000_000_000, F.transform("embedding", lambda x: x * F.lit(3).cast("float")))
+    off = e.select(F.col("vec_id") + 2_000_000_000, F.transform("embedding", lambda x, i: (x + F.lit(0.01) * ((F.col("vec_id") * 31 + i * 17) % 7 - 3)).cast("float")))
+    return lattice.groups(e.union(scaled).union(off))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose language is identified; those rejected have no row."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.classify(docs, langid.fit(docs)).where("accepted").select("doc_id", "predicted_lang", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op1_passages, op2_mixing, op3_warc, op4_topk, op5_packing, op6_pii, op7_simhash, op8_toxicity, op9_lattice, op10_language_id)}
-SQL = {"op1_substring_dedup": substring.SQL, "op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL, "op5_packing": packing.SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op1_passages, op2_mixing, op3_warc, op4_topk, op5_packing, op6_pii, op7_simhash, op8_toxicity, op9_lattice, near_copies_of_embeddings, op10_language_id)}
+SQL = {"op1_substring_dedup": substring.SQL, "op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL, "op5_packing": packing.SQL, "op9_lattice": lattice.SQL.format("embeddings")}
+SQL["near_copies_of_embeddings"] = lattice.SQL.format("(SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x: (x * 3)::FLOAT) FROM embeddings UNION ALL SELECT vec_id + 2000000000, list_transform(embedding, lambda x, i: (x + 0.01::DOUBLE * ((vec_id * 31 + (i - 1) * 17) % 7 - 3))::FLOAT) FROM embeddings)")

@@ -5,21 +5,22 @@ letters, digits and non-ASCII bytes, without the case of ASCII letters). Two doc
 ``max_distance`` of 256 bits; 40 bits are about 0.88 in cosine, or four in five distinct words in common. A group is what chains of
 matches connect; the least ``doc_id`` of a group stays. The result has one row for every other document of a group.
 
-*How.* Equal fingerprints are one entry. Each of ``tables`` tables has its own random order of the bits; the first ``base_bits``
+*How.* Equal fingerprints are one entry. Each table has its own random order of the bits; the first ``base_bits``
 of it are the bucket, which is all that is shuffled by. A bucket of more than ``bucket_cap`` entries is split by further bits,
 as far as needed, where it arrives, and again by other bits: as often as makes up for the pairs that a split separates, so that over all tables a pair at
 ``max_distance`` still meets with probability ``recall``. Entries that bits don't tell apart well enough to be worth it are compared
 whole, in blocks. Within a bucket all distances are computed, and only a star of each group found goes on;
 so neither thousands of copies nor a common bucket make a quadratic number of rows. The stars are joined by ``components``.
 
-*At scale.* A text is read once and not shuffled; an entry is 40 bytes times the tables. With n entries ``base_bits`` should be near
-log2(n / bucket_cap), else buckets are merely split later. Splits cost time, not recall or shuffle: at 40 bits about 2, 5 and 11 splits of a
-bucket make up for 4, 8 and 12 bits more than the 12 of the bucket. Recall is measured in the tests. With few tables or many ``base_bits``, whole buckets
-may not reach ``recall``; their splits then keep 0.99 of what whole ones have.
+*At scale.* A text is read once and not shuffled; an entry is 48 bytes times the tables. Bits and tables follow from the number n of entries (``planned``): of all numbers of bits, each with as many tables as give
+``recall`` at ``max_distance``, the one with the least work; bits grow with log2(n), and tables with them: 7 bits and 13 tables for 10^4 entries, 11 and 28 for 10^5 to 10^6, 22 and 180 for 10^9. The recall stays.
+A bucket that would be too much for one task (over ``heavy`` entries, as a sample of 2**17 entries tells; no smaller table has one) is split by further bits before the shuffle, and repeatedly by
+others, again so often that recall stays. There are n tables / ``heavy`` such buckets at most, and never more than 10^5, as ``heavy`` grows if need be.
 
 *Odd input.* A null text, or one without words, has no fingerprint: it is in no group, so it stays. Rows with a null ``doc_id`` are in
 no group either. Rows with the same ``doc_id`` are one document: each of their fingerprints counts for it, and they don't make a group
-of their own. An empty table gives no rows. Columns other than the named ones are not read, whatever their names.
+of their own. Ids of any type come back as they are; the least is the first in their order. Bits that the words leave even (ties) are 0 and 1 in turn. Texts of any length are hashed whole. An
+empty table gives no rows. Columns other than the named ones are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import components, cut
+from quillspark.llm.shared import column, components, cut, numbered, original, slots
 from quillspark.llm.textarrays import NONWORD, mix, words
 
 BITS = 256
@@ -90,14 +91,42 @@ def sampled(f: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def _buckets(tables: int, base_bits: int, seed: int):
+#: Bits of a bucket's number below its table.
+PLACE = 48
+
+
+def extra_bits(table: int, turn: int, order: np.ndarray, base_bits: int, more: int, seed: int) -> np.ndarray:
+    """Bits that a heavy bucket of a table is split by in one of its turns."""
+    return np.random.Generator(np.random.PCG64([seed, table, turn])).permutation(order[base_bits:])[:more]
+
+
+def _buckets(tables: int, base_bits: int, seed: int, heavy: dict[int, tuple[int, int]] | None = None):
+    """Entries by bucket. ``heavy``: (further bits, turns) of the buckets that are split."""
+    known = np.array(sorted(heavy or ()), np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [order_of(t, seed)[:base_bits] for t in range(tables)]
+        orders = [order_of(t, seed) for t in range(tables)]
         for b in batches:
             f = np.stack([b.column(k).to_numpy() for k in range(1, 1 + LANES)], 1).view(np.uint64)
-            for t, bits in enumerate(orders):
-                key = sampled(f, bits)[:, 0].astype(np.int64) | np.int64(t << base_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["bucket", *b.schema.names])
+            for t, order in enumerate(orders):
+                key = sampled(f, order[:base_bits])[:, 0].astype(np.int64) | np.int64(t << PLACE)
+                whole = np.ones(len(key), bool)
+                if len(known):
+                    whole = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key
+                    for k in np.unique(key[~whole]):
+                        at = np.flatnonzero(key == k)
+                        rows = b.take(pa.array(at))
+                        for turn in range(heavy[int(k)][1]):
+                            part = sampled(f[at], extra_bits(t, turn, order, base_bits, heavy[int(k)][0], seed))[:, 0]
+                            with np.errstate(over="ignore"):
+                                h = mix(part * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(k) & ((1 << PLACE) - 1)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(turn))
+                            mine = (h & np.uint64((1 << (PLACE - 1)) - 1)).astype(np.int64) | np.int64(t << PLACE) | np.int64(1 << (PLACE - 1))
+                            yield pa.RecordBatch.from_arrays([pa.array(mine), *rows.columns], ["bucket", *b.schema.names])
+                if whole.all():
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["bucket", *b.schema.names])
+                elif whole.any():
+                    rows = b.take(pa.array(np.flatnonzero(whole)))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[whole]), *rows.columns], ["bucket", *b.schema.names])
 
     return run
 
@@ -132,6 +161,26 @@ def meeting(bits: int, used: int, most: int) -> float:
     return float(np.prod(np.maximum(BITS - used - most - k, 0) / (BITS - used - k)))
 
 
+def planned(n: int, most: int, recall: float) -> tuple[int, int]:
+    """(bits, tables) with the least work for n entries among those by which a pair at distance ``most`` meets with probability ``recall``.
+
+    Work is counted in comparisons: to send an entry to a bucket is worth 3000, and buckets are fuller by 8 than they would be if bits were even.
+    """
+
+    def of(bits: int) -> tuple[float, int]:
+        tables = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(meeting(bits, 0, most), 1 - 1e-9)))))
+        return tables * (3000 + 8 * n / 2**bits), tables
+
+    bits = min(range(4, 33), key=lambda k: of(k)[0])
+    return bits, of(bits)[1]
+
+
+def turns(size: int, heavy: int, base_bits: int, most: int, need: float) -> tuple[int, int]:
+    """(further bits, turns) by which a bucket of ``size`` entries comes into parts of about a half of ``heavy``, a share ``need`` of pairs meeting in some turn."""
+    more = min(32, int(np.ceil(np.log2(size / heavy))) + 1)
+    return more, int(np.ceil(np.log(1 - need) / np.log(1 - 0.99 * meeting(more, base_bits, most))))
+
+
 def needed(tables: int, base_bits: int, most: int, recall: float) -> float:
     """Share of the pairs at distance ``most`` in a bucket that must be compared for ``recall`` over all tables."""
     return min(0.99, (1 - (1 - recall) ** (1 / tables)) / max(meeting(base_bits, 0, most), 1e-9))
@@ -222,7 +271,7 @@ def matches(f: np.ndarray, ids: np.ndarray, bits: np.ndarray, base_bits: int, ca
     return ids[moved], ids[label[moved]]
 
 
-def _verified(base_bits: int, cap: int, most: int, need: float, seed: int):
+def _verified(cap: int, base_bits: int, most: int, need: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders: dict[int, np.ndarray] = {}
         held: list[pa.RecordBatch] = []
@@ -235,7 +284,7 @@ def _verified(base_bits: int, cap: int, most: int, need: float, seed: int):
             end = np.concatenate([begin[1:], [len(key)]])
             left, right = [], []
             for b, e in zip(begin[end - begin > 1], end[end - begin > 1]):
-                table = int(key[b]) >> base_bits
+                table = int(key[b]) >> PLACE
                 if table not in orders:
                     orders[table] = order_of(table, seed)
                 order = np.argsort(ids[b:e], kind="stable")
@@ -262,22 +311,34 @@ def _verified(base_bits: int, cap: int, most: int, need: float, seed: int):
     return run
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = 40, tables: int = 32, base_bits: int = 12, bucket_cap: int = 1024, seed: int = 7, recall: float = 0.95) -> DataFrame:
-    """(``doc_id``, ``duplicate_of``) of each document that near-copies an earlier one of its group; see the module."""
-    if base_bits + (tables - 1).bit_length() > 62 or not 0 < base_bits <= 48:
-        raise ValueError("base_bits must be 1 to 48")
-    d = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = 40, tables: int = 0, base_bits: int = 0, bucket_cap: int = 1024, seed: int = 7, recall: float = 0.99, heavy: int = 1 << 16) -> DataFrame:
+    """(``doc_id``, ``duplicate_of``) of each document that near-copies an earlier one of its group; see the module. ``tables`` and ``base_bits`` of 0 follow from the number of entries."""
+    if not (0 <= base_bits < PLACE - 1 and 0 <= tables < 1 << 14):
+        raise ValueError("base_bits must be 0 to 46, tables 0 to 16383")
+    d, ids = numbered(docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text")).where("doc_id is not null and text is not null"), "doc_id")
     lanes = [f"f{k}" for k in range(LANES)]
-    entries = cut(d.mapInArrow(_entries, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in lanes)))
-    distinct = entries.groupBy(*lanes).agg(F.min("doc_id").alias("doc_id"))
-    buckets = distinct.select("doc_id", *lanes).mapInArrow(_buckets(tables, base_bits, seed), "bucket bigint, doc_id bigint, " + ", ".join(f"{c} bigint" for c in lanes))
-    near = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(base_bits, bucket_cap, max_distance, needed(tables, base_bits, max_distance, recall), seed), "a bigint, b bigint")
+    kinds = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in lanes)
+    entries = cut(d.mapInArrow(_entries, kinds))
+    distinct = cut(entries.groupBy(*lanes).agg(F.min("doc_id").alias("doc_id")).select("doc_id", *lanes))
+    n = distinct.count()
+    bits, many = planned(n, max_distance, recall)
+    base_bits, tables = base_bits or bits, tables or many
+    need = needed(tables, base_bits, max_distance, recall)
+    split: dict[int, tuple[int, int]] = {}
+    heavy = max(heavy, n * tables // 100_000)
+    if n > heavy:
+        one_in = max(1, n >> 17)
+        some = distinct.where(F.pmod(slots("doc_id", F.lit(seed)), F.lit(one_in)) == 0).mapInArrow(_buckets(tables, base_bits, seed), f"bucket bigint, {kinds}")
+        full = some.groupBy("bucket").agg((F.count("*") * one_in).alias("size")).where(F.col("size") > heavy).collect()
+        split = {r["bucket"]: turns(r["size"], heavy, base_bits, max_distance, need) for r in full}
+    buckets = distinct.mapInArrow(_buckets(tables, base_bits, seed, split), f"bucket bigint, {kinds}")
+    near = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(bucket_cap, base_bits, max_distance, need, seed), "a bigint, b bigint")
     same = entries.join(distinct.withColumnRenamed("doc_id", "least"), lanes).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    c = components(near.union(same))
-    return c.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    c = components(near.union(same)).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    return original(c, ids, ["doc_id", "duplicate_of"])
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the later documents of each group; rows that share a ``doc_id`` stay or go together, null ids stay."""
     gone = groups(docs, doc_id, text, **options).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    return docs.join(gone, column(docs, doc_id) == gone["__gone"], "left_anti")

@@ -15,7 +15,7 @@ DATA = "/root/testdata"
 SF = f"{DATA}/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_mixing", "op3_warc", "op4_topk", "op5_packing"])
+@pytest.mark.parametrize("name", ["op2_mixing", "op3_warc", "op4_topk", "op5_packing", "op9_lattice", "near_copies_of_embeddings"])
 def test_queries_by_sql(spark, same, name):
     same(queries.QUERIES[name](spark, SF), queries.SQL[name])
 
@@ -358,6 +358,27 @@ def test_lattice_recall_against_brute_force(spark):
         label = np.where(s >= 0.95, label[None], len(x)).min(1)
     want = {i: int(label[i]) for i in range(len(x)) if label[i] != i}
     assert got.keys() <= want.keys() and all(got[k] == want[k] for k in got) and len(got) >= 0.95 * len(want)
+    names = df.select(F.format_string("v-%06d", "vec_id").alias("vec.id"), "embedding", F.lit(1).alias("a`b"))
+    dealt = {r[0]: r[1] for r in lattice.groups(names, "vec.id", heavy=2, width=2.5, tables=2).collect()}  # every cell dealt out in chunks
+    assert dealt.keys() <= {f"v-{i:06d}" for i in want} and all(int(b[2:]) == want[int(a[2:])] for a, b in dealt.items()) and len(dealt) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("n", [10_000, 10_000_000, 10_000_000_000])
+def test_lattice_plans_keep_recall(n):
+    """Pairs at the threshold meet in some table, by the width, probes and tables that follow from n; other vectors than those the plan is made with."""
+    rng = np.random.default_rng(21)
+    a = rng.normal(size=(600, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    width, probes, tables = lattice.planned(n, 64, 0.95, 0.98, a.astype(np.float32), 9)
+    mine, other, met, k = list(lattice.placed(a, tables, probes, width, 9)), list(lattice.placed(b, tables, probes, width, 9)), np.zeros(len(a), bool), 1 + probes
+    for t in range(tables):
+        for j in range(k):
+            met |= (mine[t * k + j][1] == other[t * k][1]) | (other[t * k + j][1] == mine[t * k][1])
+    assert met.mean() >= 0.95
+    print(n, width, probes, tables)
 
 
 def test_large_cells_are_compared_in_blocks():

@@ -170,6 +170,21 @@ def test_groups_against_brute_force(spark):
     assert len(got) >= 0.95 * len(want)
     capped = {r[0]: r[1] for r in simhash.groups(df, base_bits=1, bucket_cap=8).collect()}
     assert capped.keys() <= want.keys() and len(capped) >= 0.9 * len(want)
+    names = df.selectExpr("concat('d', lpad(doc_id, 5, '0')) as `doc.id`", "text", "1 as `a``b`")
+    split = {r[0]: r[1] for r in simhash.groups(names, "doc.id", base_bits=1, tables=9, heavy=8).collect()}  # every bucket split before the shuffle
+    assert all(int(b[1:]) == want[int(a[1:])] for a, b in split.items()) and len(split) >= 0.9 * len(want)
+
+
+def test_plans_keep_recall_as_tables_grow():
+    last = 0
+    for n in (100, 10**4, 10**6, 10**8, 10**10):
+        bits, tables = simhash.planned(n, 40, 0.99)
+        assert bits >= last and 1 - (1 - simhash.meeting(bits, 0, 40)) ** tables >= 0.99
+        need = simhash.needed(tables, bits, 40, 0.99)
+        assert 1 - (1 - need * simhash.meeting(bits, 0, 40)) ** tables >= 0.98
+        more, times = simhash.turns(10**6, 1 << 16, bits, 40, need)
+        assert 1 - (1 - 0.99 * simhash.meeting(more, bits, 40)) ** times >= need - 1e-9 and 10**6 >> more <= 1 << 16
+        last = bits
 
 
 def test_recall_of_pairs():
@@ -180,8 +195,9 @@ def test_recall_of_pairs():
     d = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
     a, b = np.nonzero(np.triu(d <= 40, 1))
     met = np.zeros(len(a), bool)
-    for k in range(32):
-        key = simhash.sampled(f, simhash.order_of(k, 7)[:16])[:, 0]
+    bits, tables = simhash.planned(len(f), 40, 0.99)
+    for k in range(tables):
+        key = simhash.sampled(f, simhash.order_of(k, 7)[:bits])[:, 0]
         met |= key[a] == key[b]
     assert len(a) > 20 and met.mean() >= 0.9
 
