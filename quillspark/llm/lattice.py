@@ -211,8 +211,15 @@ def planned(n: int, dims: int, threshold: float, recall: float, sample: np.ndarr
     b = rng.normal(size=a.shape)
     b -= (a * b).sum(1)[:, None] * a
     b = threshold * a + np.sqrt(max(0.0, 1 - threshold * threshold)) * b / np.maximum(np.linalg.norm(b, axis=1), 1e-12)[:, None]
-    best = None
+    best, before = None, None
     for width in 0.7 * 2.0 ** (-np.arange(9) / 4):
+        cell = next(placed(sample.astype(np.float64), 1, 0, width, seed))[1] if len(sample) else np.zeros(0, np.int64)
+        _, size = np.unique(cell, return_counts=True)
+        pairs, all_ = float((size * (size - 1)).sum()), max(1.0, float(len(cell)) * (len(cell) - 1))
+        # too few to count: cells shrink with the eighth power of the width
+        share = pairs / all_ if pairs >= 20 or before is None else before[0] * (width / before[1]) ** 8
+        before = (share, width)
+        full = share * n  # others in an entry's cell
         for probes in (0, 2, 6, 16):
             mine, other = list(placed(a, 1, probes, width, seed)), list(placed(b, 1, probes, width, seed))
             met = np.zeros(len(a), bool)
@@ -222,9 +229,6 @@ def planned(n: int, dims: int, threshold: float, recall: float, sample: np.ndarr
                 met |= cell == mine[0][1]
             p = min(max(float(met.mean()) - 0.02, 1e-3), 1 - 1e-6)  # less what 2000 pairs may be off
             tables = max(2, int(np.ceil(np.log(1 - recall) / np.log(1 - p))))
-            cell = next(placed(sample.astype(np.float64), 1, 0, width, seed))[1] if len(sample) else np.zeros(0, np.int64)
-            _, size = np.unique(cell, return_counts=True)
-            full = float((size * (size - 1)).sum()) / max(1, len(cell) * (len(cell) - 1)) * n  # others in an entry's cell
             work = tables * (1 + probes) * (300 + full)
             if best is None or work < best[0]:
                 best = work, float(width), probes, tables

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,22 +78,23 @@ def slots(*columns: Column | str) -> Column:
 def _with_least(pairs: DataFrame, n: int, hot: int) -> DataFrame:
     """``pairs`` (k, x), ``n`` of them, with m, the least x of each k.
 
-    Minima are summed up before their shuffle. Keys with more than ``hot`` pairs, of which there are n / hot at most, meet their minima by
-    a broadcast and aren't shuffled; without them, no key is a large part of the join. No row ever holds the neighbours of a key.
+    One shuffle by k; no row ever holds the neighbours of a key. Keys with more than ``hot`` pairs, of which there are n / hot at most, meet their minima (which are summed up before
+    their shuffle) by a broadcast instead.
     """
-    least = pairs.groupBy("k").agg(F.min("x").alias("m"), F.count("*").alias("n"))
+    least = F.min("x").over(Window.partitionBy("k"))
     if n <= hot:
-        return pairs.join(least.drop("n"), "k")
-    hubs = pairs.sparkSession.createDataFrame(least.where(F.col("n") > hot).select("k", "m").collect(), least.select("k", "m").schema)
+        return pairs.withColumn("m", least)
+    top = pairs.groupBy("k").agg(F.min("x").alias("m"), F.count("*").alias("n")).where(F.col("n") > hot).select("k", "m")
+    hubs = pairs.sparkSession.createDataFrame(top.collect(), top.schema)
     marked = pairs.join(F.broadcast(hubs), "k", "left")
-    return marked.where("m is null").drop("m").join(least.drop("n"), "k").unionByName(marked.where("m is not null"))
+    return marked.where("m is null").drop("m").withColumn("m", least).unionByName(marked.where("m is not null"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, hot: int = 1_000_000) -> DataFrame:
     """(``node``, ``root``) of every node of ``edges``; the root is the smallest node that a path leads to.
 
-    Alternates the large-star and small-star steps: each takes the minimum of every node's neighbours and joins it with the edges. A node with more than
-    ``hot`` edges (or a ten-thousandth of all, if that is more: so there are 20,000 of them at most) is joined by a broadcast. Every round is cut, so the
+    Alternates the large-star and small-star steps: each gives every edge the minimum of its node's neighbours. A node with more than
+    ``hot`` edges (or a ten-thousandth of all, if that is more: so there are 20,000 of them at most) gets it by a broadcast. Every round is cut, so the
     plan stays short and a lost executor repeats one round at most. Self-loops, repeated edges and null ends are allowed.
     """
     e = (
