@@ -14,18 +14,19 @@ so rows of a document may overlap, and text with a period of n words has a row e
    anchor is compared too, as a tree of reversed prefixes.
 2. Prefixes. Suffixes are partitioned by their first ``prefix_words`` words. A prefix that only one document has (``within``: that occurs once) makes a leaf and
    goes. A prefix with more than ``memory_suffixes`` suffixes is lengthened: its suffixes start up to ``min_words - prefix_words``
-   words earlier, and are partitioned by ``min_words`` words, so each part is a single node, counted without being held.
+   words earlier, and are partitioned by ``min_words`` words, so each part is a single node, counted without being held; nodes are told apart by two hashes of 64 bits.
 3. Trees. The suffixes of a prefix are sorted by the words that follow, and by the reversed words that precede; with the lengths
    common to neighbours this is the suffix tree, a node being a run of suffixes with at least that much in common. A node of
    depth ``min_words - d`` that shares ``d`` words to the left and has leaves of two documents (``within``: two leaves) is a repeat. Long repeats have
    several anchors; their runs join in the result.
 
 *At scale.* One shuffle of 20 bytes an anchor, one of the texts by document, one of 200 bytes for each anchor of a repeated
-prefix; nothing is broadcast or collected. Comparisons are by 64-bit hashes of prefixes and 32-bit hashes of each further word.
+prefix; nothing is broadcast or collected. Comparisons are by a 64-bit hash of the prefix and a 32-bit hash of each further word, 25 of them at least, or by the two hashes of a node.
 
 *Odd input.* A null or blank text, or one of fewer than ``min_words`` words, has no rows. Rows with a null ``doc_id`` are left out.
 Rows that share a ``doc_id`` count as one document: what only they have in common is no repeat (``within``: unless at different places), and
-their runs are joined as if of one text. An empty table gives no rows. Only the named columns are read, so extra ones don't matter.
+their runs are joined as if of one text. Of first copies that tie, the least document (``within``: then the least place) is named. Texts of any length are taken whole. Ids of any type come back as
+they are, and are compared in their order. An empty table gives no rows. Only the named columns are read, so extra ones, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import fresh
+from quillspark.llm.shared import column, fresh, numbered, original
 from quillspark.llm.textarrays import flat, mix, powers, words
 
 SPANS = "doc_id bigint, start_word bigint, end_word bigint, n_words bigint, first_doc_id bigint"
@@ -193,8 +194,13 @@ def _contexts(prefix: int, length: int):
                         q = p[c][t][which] - d
                         with np.errstate(over="ignore"):
                             w = mix((total[q + length] - total[q]) * down[q])
+                            # the same window by other hashes of its words
+                            second = np.zeros(len(h) + 1, np.uint64)
+                            np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)) * up[: len(h)], out=second[1:])
+                            w2 = np.ascontiguousarray(mix((second[q + length] - second[q]) * down[q]))
                         n = len(q)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(w.view(np.int64)), pa.array(ids[i:j][row[c][t]][which]), pa.array((q - off[row[c][t]][which]).astype(np.int32)), pa.array(np.zeros(n, np.int8)), pa.array(np.zeros(n, np.int8)), pa.array([None] * n, pa.binary())], schema=schema)
+                        also = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 8).astype(np.int32)), pa.py_buffer(w2)])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(w.view(np.int64)), pa.array(ids[i:j][row[c][t]][which]), pa.array((q - off[row[c][t]][which]).astype(np.int32)), pa.array(np.zeros(n, np.int8)), pa.array(np.zeros(n, np.int8)), also], schema=schema)
 
     return run
 
@@ -305,7 +311,7 @@ def _trees(prefix: int, length: int, within: bool, hold: int = 60_000):
         return (solve(t.slice(0, cut).to_batches()) if cut else None), t.slice(cut).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by hot, g, doc_id (``within``: and at): first the trees, whole prefixes together until enough are held; then single nodes."""
+        """Rows come sorted by hot, g, the second hash if hot, doc_id (``within``: and at): first the trees, whole prefixes together until enough are held; then single nodes."""
         held, rows, enough = [], 0, hold
         last, first, place, waiting = None, None, None, []
         for b in batches:
@@ -327,10 +333,11 @@ def _trees(prefix: int, length: int, within: bool, hold: int = 60_000):
                 held, rows = [], 0
             g, doc, at = (b.column(k).to_numpy()[n:] for k in (1, 2, 3))
             at = at.astype(np.int64)
-            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            also = flat(b.column(6).slice(n))[0].view(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (also[1:] != also[:-1])]))
             end = np.concatenate([begin[1:], [len(g)]])
             firsts, places = doc[begin].copy(), at[begin].copy()
-            if g[0] == last:
+            if (g[0], also[0]) == last:
                 firsts[0], places[0] = first, place
             else:
                 waiting = []
@@ -339,7 +346,7 @@ def _trees(prefix: int, length: int, within: bool, hold: int = 60_000):
                 spread |= at[end - 1] != places
             if waiting and spread[0]:
                 yield waiting[0] if len(waiting) == 1 else pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-            if g[0] != last or spread[0] or len(begin) > 1:
+            if (g[0], also[0]) != last or spread[0] or len(begin) > 1:
                 waiting = []
             size = end - begin
             least = np.repeat(firsts, size)
@@ -350,7 +357,7 @@ def _trees(prefix: int, length: int, within: bool, hold: int = 60_000):
                 yield out(keep)
             if not spread[-1]:  # one document (or place) so far; another may follow
                 waiting.append(out(slice(int(begin[-1]), len(g))))
-            last, first, place = g[-1], firsts[-1], places[-1]
+            last, first, place = (g[-1], also[-1]), firsts[-1], places[-1]
         if held:
             yield solve(held)
 
@@ -410,17 +417,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
     prefix = prefix_words or (min_words + 1) // 2
     if not 0 < prefix <= min_words or min_words - prefix > 100:
         raise ValueError("prefix_words must lie within min_words, at most 100 below it")
-    d = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
+    d, ids = numbered(docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text")).where("doc_id is not null and text is not null"), "doc_id")
     a = d.mapInArrow(_anchor_batches(prefix, min_words - prefix + 1), "g bigint, doc_id bigint, at int")
     a = a.repartition("g").sortWithinPartitions("g", "doc_id")
     codes = a.mapInArrow(_repeated(memory_suffixes, within), "doc_id bigint, code bigint").groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
-    both = d.join(codes.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "codes")
+    both = d.join(codes, "doc_id").select("doc_id", "text", "codes")
     suffixes = both.mapInArrow(_contexts(prefix, min_words), "hot boolean, g bigint, doc_id bigint, at int, lefts tinyint, rights tinyint, around binary")
-    suffixes = suffixes.repartition("hot", "g").sortWithinPartitions("hot", "g", "doc_id", *(["at"] if within else []))
+    suffixes = suffixes.repartition("hot", "g").sortWithinPartitions("hot", "g", F.when(F.col("hot"), F.col("around")), "doc_id", *(["at"] if within else []))
     found = suffixes.mapInArrow(_trees(prefix, min_words, within), "doc_id bigint, start_word bigint, end_word bigint, first_doc_id bigint" + ", first_word bigint" * within)
-    if within:
-        return found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word", "first_doc_id", "first_word")).alias("runs")).mapInArrow(_join_passages(min_words), PASSAGES)
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word", "first_doc_id")).alias("runs")).mapInArrow(_join_spans, SPANS)
+    columns = ("start_word", "end_word", "first_doc_id", "first_word")[: 4 if within else 3]
+    runs = found.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("runs"))
+    out = runs.mapInArrow(_join_passages(min_words), PASSAGES) if within else runs.mapInArrow(_join_spans, SPANS)
+    return original(out, ids, ["doc_id", "first_doc_id"])
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,7 +442,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", t
     cid, list_ = fresh(docs, "__cut_id"), fresh(docs, "__cuts")
     own = F.expr("first_doc_id = doc_id" + " and first_word = start_word" * ("first_word" in spans.columns))
     cuts = spans.groupBy(F.col("doc_id").alias(cid)).agg(F.collect_list(F.struct("start_word", "end_word", own.alias("own"))).alias(list_)).where(F.exists(list_, lambda r: ~r["own"]))
-    joined_ = docs.join(cuts, docs[doc_id] == cuts[cid], "left").drop(cid)
+    joined_ = docs.join(cuts, column(docs, doc_id) == cuts[cid], "left").drop(cid)
 
     @F.pandas_udf("string")
     def trimmed(t, c):  # type: ignore[no-untyped-def]
@@ -458,7 +466,9 @@ def without_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", t
 
         return t.combine(c, lambda a, b: a if a is None or b is None else one(a, b))
 
-    return joined_.withColumn(text, F.when(F.col(list_).isNull() | F.col(text).isNull(), F.col(text)).otherwise(trimmed(F.col(text), F.col(list_)))).drop(list_)
+    t = column(joined_, text)
+    new = F.when(F.col(list_).isNull() | t.isNull(), t).otherwise(trimmed(t, F.col(list_))).alias(text)
+    return joined_.select(*[new if c == text else column(joined_, c) for c in docs.columns])
 
 
 #: The same in SQL: all windows, by their text.

@@ -85,6 +85,8 @@ def test_repeats_by_brute_force(spark, memory):
     got = sorted(tuple(r) for r in substring.repeats(df, min_words=10, memory_suffixes=memory).collect())
     assert got == brute_repeats(rows, 10)
     assert not [r for r in got if r[0] == 100] and [r for r in got if r[0] == 102]
+    names = df.selectExpr("concat('d', lpad(doc_id, 3, '0')) as `doc.id`", "text", "1 as `a``b`")
+    assert sorted(tuple(r) for r in substring.repeats(names, "doc.id", min_words=10, memory_suffixes=memory).collect()) == [(f"d{r[0]:03d}", *r[1:4], f"d{r[4]:03d}") for r in got]
 
 
 @pytest.mark.parametrize("memory", [20_000, 2])
