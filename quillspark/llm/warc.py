@@ -35,16 +35,12 @@ from quillspark.llm.shared import attached, column, components, cut
 RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, content_type string, block binary"
 
 
-#: Bytes in which the end of a header is looked for first; headers may be longer.
-NEAR = 1 << 16
 BREAK = "\r\n\r\n"
 
 
-def header_end(block: Column) -> Column:
-    """Place, from 1, of the empty line that ends a header in bytes; 0 if there is none."""
-    plain = lambda x: F.decode(x, "ISO-8859-1")  # noqa: E731  # a character a byte, so places are the same
-    at = F.instr(plain(F.substring(block, 1, NEAR)), BREAK)
-    return F.when((at > 0) | (F.octet_length(block) <= NEAR), at).otherwise(F.instr(plain(block), BREAK))
+def head_of(block: Column) -> Column:
+    """Bytes before the first empty line, all if there is none, as a string that need not be valid: it is searched byte by byte, and nothing after it is looked at."""
+    return F.substring_index(block.cast("string"), BREAK, 1)
 
 
 def text_of(block: Column) -> Column:
@@ -54,8 +50,8 @@ def text_of(block: Column) -> Column:
 def parsed(raw: DataFrame, name: str = "raw") -> DataFrame:
     """Columns of ``RECORD`` for each raw record, given as bytes or as text."""
     r = raw.select(column(raw, name).cast("binary").alias("raw")).where(F.substring("raw", 1, 5) == F.lit(b"WARC/"))
-    r = r.withColumn("at", header_end(F.col("raw")))
-    r = r.select(text_of(F.when(F.col("at") > 0, F.substring("raw", F.lit(1), F.col("at") - 1)).otherwise(F.col("raw"))).alias("head"), F.col("raw"), F.when(F.col("at") > 0, F.col("at") + 4).otherwise(F.octet_length("raw") + 1).alias("start"))
+    r = r.withColumn("own", head_of(F.col("raw")))
+    r = r.select(F.make_valid_utf8("own").alias("head"), "raw", (F.octet_length("own") + len(BREAK) + 1).alias("start"))
     # a folded line goes on with a space or tab
     lines = F.split(F.regexp_replace("head", "\r\n[ \t]+", " "), "\r\n")
     r = r.withColumn("fields", F.transform(F.filter(lines, lambda x: F.instr(x, ":") > 0), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v"))))
@@ -74,10 +70,10 @@ def parsed(raw: DataFrame, name: str = "raw") -> DataFrame:
     )
 
 
-def _http(block: Column, at: Column) -> tuple[Column, Column, Column]:
-    """(first line, further header lines, payload) of an HTTP message whose header ends ``at``."""
-    head = text_of(F.when(at > 0, F.substring(block, F.lit(1), at - 1)).otherwise(block))
-    return F.substring_index(head, "\r\n", 1), F.when(F.instr(head, "\r\n") > 0, F.substring(head, F.instr(head, "\r\n") + 2, F.length(head))).otherwise(""), F.when(at > 0, F.substring(block, at + 4, F.octet_length(block))).otherwise(F.lit(b""))
+def _http(block: Column, own: Column) -> tuple[Column, Column, Column]:
+    """(first line, further header lines, payload) of an HTTP message with the given header."""
+    head = F.make_valid_utf8(own)
+    return F.substring_index(head, "\r\n", 1), F.when(F.instr(head, "\r\n") > 0, F.substring(head, F.instr(head, "\r\n") + 2, F.length(head))).otherwise(""), F.substring(block, F.octet_length(own) + len(BREAK) + 1, F.octet_length(block))
 
 
 def captures(records: DataFrame, hot: int = 1_000_000) -> DataFrame:
@@ -103,8 +99,8 @@ def captures(records: DataFrame, hot: int = 1_000_000) -> DataFrame:
     small = rest.groupBy("record_id").agg(F.min(F.struct("type", "target_uri", "date", "block")).alias("x")).select("record_id", "x.*")
     small = attached(small.join(group.withColumnRenamed("node", "record_id"), "record_id", "left"), heads, "root", hot, narrow.count()).join(owners, "record_id", "left")
     small = small.withColumn("capture", F.coalesce("owner", "head", "root", "record_id"))
-    small = small.withColumn("block", F.coalesce("block", F.lit(b""))).withColumn("at", header_end(F.col("block")))
-    line, lines, payload = _http(F.col("block"), F.col("at"))
+    small = small.withColumn("block", F.coalesce("block", F.lit(b""))).withColumn("own", head_of(F.col("block")))
+    line, lines, payload = _http(F.col("block"), F.col("own"))
     small = small.select(
         "capture",
         F.when(F.col("type") == "request", F.struct("record_id", F.element_at(F.split(line, " "), 1).alias("method"), F.try_element_at(F.split(line, " "), F.lit(2)).alias("path"), lines.alias("headers"), payload.alias("body"))).alias("request"),
@@ -116,8 +112,8 @@ def captures(records: DataFrame, hot: int = 1_000_000) -> DataFrame:
     small = small.groupBy("capture").agg(F.sort_array(F.collect_list("request")).alias("requests"), F.sort_array(F.collect_list("metadata")).alias("metadata"), F.sort_array(F.collect_list("other")).alias("others"), F.min("target_uri").alias("uri_"), F.min("date").alias("date_"))
     big = responses.groupBy("record_id").agg(F.min(F.struct("target_uri", "date", "content_type", "block")).alias("x")).select("record_id", "x.*")
     both = big.join(small.withColumnRenamed("capture", "record_id"), "record_id", "full_outer")
-    both = both.withColumn("at", header_end(F.col("block")))
-    line, lines, payload = _http(F.col("block"), F.col("at"))
+    both = both.withColumn("own", head_of(F.col("block")))
+    line, lines, payload = _http(F.col("block"), F.col("own"))
     return both.select(
         "record_id",
         F.coalesce("target_uri", "uri_").alias("target_uri"),
