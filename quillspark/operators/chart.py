@@ -1,9 +1,12 @@
-"""Scores of fragments that are joined in any order, on a model held in memory; for many fragments see ``score`` without a begin marker."""
+"""Scores of fragments that are joined in any order: of tables of fragments by ``fragments`` and ``joined``, of single ones on a model held in memory by ``Rule``."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -179,9 +182,12 @@ def score_fragment(model: LocalModel, words: list[str]) -> tuple[float, Fragment
     return r.finish(), r.fragment
 
 
-def attach_rest(model: LocalModel, rest) -> None:  # type: ignore[no-untyped-def]
-    """Rest costs (order, ngram, log10_prob, rest) for estimates of fragments' left words."""
-    model.rest = {r["ngram"]: r["rest"] for r in rest.select("ngram", F.col("rest")).collect()}
+def attach_rest(model: LocalModel, rest: DataFrame, most: int = 5_000_000) -> None:
+    """Rest costs (order, ngram, log10_prob, rest) for estimates of fragments' left words; at most as many as ``LocalModel`` holds entries."""
+    got = rest.select("ngram", "rest").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"over {most} rest costs: keep them as a DataFrame")
+    model.rest = {r["ngram"]: r["rest"] for r in got}
 
 
 def unrest(model: LocalModel, words: tuple[str, ...]) -> float:
@@ -195,3 +201,68 @@ def unrest(model: LocalModel, words: tuple[str, ...]) -> float:
         g = " ".join(history[-n:])
         total += model.entry[g][0] - model.rest.get(g, model.entry[g][0])
     return total
+
+
+#: What a table of fragments has besides its keys: the score without context, the words whose scores may change by what comes before, the words that may matter to
+#: what follows, and whether nothing before the left words can matter.
+FRAGMENT = ("score", "left", "right", "full")
+
+
+def fragments(model: Model, lines: DataFrame, keys: Sequence[str], ready: DataFrame | None = None) -> DataFrame:
+    """(``keys``, score, left, right, full) of each line (``keys``, words); a leading <s> begins a sentence. ``ready``: as in ``score.words``."""
+    from quillspark.operators import score as S
+
+    begun = F.coalesce(F.get("words", F.lit(0)) == T.BOS, F.lit(False))
+    plain = lines.where(~begun).select(*keys, "words")
+    sentences = lines.where(begun).select(*keys, F.slice("words", F.lit(2), F.size("words")).alias("words"))
+    out = None
+    for rows, bos in ((plain, False), (sentences, True)):
+        s = S.words(model, rows, keys, bos=bos, eos=False, ready=ready)
+        g = s.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "word", "log10_prob", "independent_left", "state_length"))).alias("x"))
+        x = rows.join(g, list(keys), "left").withColumn("x", F.coalesce("x", F.array().cast(g.schema["x"].dataType)))
+        n = F.size("x")
+        whole = F.concat(F.array(F.lit(T.BOS)), F.transform("x", lambda r: r["word"])) if bos else F.transform("x", lambda r: r["word"])
+        state = F.when(n > 0, F.element_at("x", F.when(n > 0, n).otherwise(1))["state_length"]).otherwise(1 if bos else 0)
+        closed = F.array_position(F.transform("x", lambda r: r["independent_left"]), F.lit(True))
+        left = F.least(F.lit(model.order - 1), F.when(closed > 0, closed).otherwise(n)).cast("int")
+        x = x.select(
+            *keys,
+            F.aggregate("x", F.lit(0.0), lambda a, r: a + r["log10_prob"]).alias("score"),
+            F.array().cast("array<string>").alias("left") if bos else F.slice(F.transform("x", lambda r: r["word"]), F.lit(1), left).alias("left"),
+            F.slice(whole, F.size(whole) - state + 1, state).alias("right"),
+            F.lit(True).alias("full") if bos else ((closed > 0) | (n >= model.order - 1)).alias("full"),
+        )
+        out = x if out is None else out.union(x)
+    return out
+
+
+def joined(model: Model, first: DataFrame, second: DataFrame, keys: Sequence[str], ready: DataFrame | None = None) -> DataFrame:
+    """Each fragment of ``first`` joined with that of ``second`` with the same ``keys``, as ``fragments`` would score their words together.
+
+    Only the seam is scored: the state of the first, then the left words of the second, which change by it.
+    """
+    from quillspark.operators import score as S
+    from quillspark.operators.durable import cut
+
+    a = first.select(*keys, *[F.col(c).alias(f"a_{c}") for c in FRAGMENT])
+    b = second.select(*keys, *[F.col(c).alias(f"b_{c}") for c in FRAGMENT])
+    both = cut(a.join(b, list(keys)))
+    seam = both.select(*keys, F.lit("seam").alias("__part"), F.concat("a_right", "b_left").alias("words")).union(both.select(*keys, F.lit("alone"), "b_left"))
+    s = S.words(model, seam, [*keys, "__part"], bos=False, eos=False, ready=ready)
+    row = F.struct("pos", "word", "log10_prob", "state_length")
+    g = s.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(F.col("__part") == p, row))).alias(p) for p in ("seam", "alone")])
+    x = both.join(g, list(keys), "left")
+    off = F.size("a_right")
+    after = F.aggregate(F.coalesce(F.slice("seam", off + 1, F.greatest(F.size("seam"), F.lit(1))), F.col("alone")), F.lit(0.0), lambda t, r: t + r["log10_prob"])
+    before = F.aggregate("alone", F.lit(0.0), lambda t, r: t + r["log10_prob"])
+    n = F.size("seam")
+    state = F.element_at("seam", F.when(n > 0, n).otherwise(1))["state_length"]
+    through = F.when(n > 0, F.slice(F.concat("a_right", "b_left"), n - state + 1, state)).otherwise(F.col("a_right"))
+    left = F.slice(F.concat("a_left", "b_left"), 1, model.order - 1)
+    return x.select(
+        *keys,
+        (F.col("a_score") + F.col("b_score") + F.coalesce(after - before, F.lit(0.0))).alias("score"),
+        F.when(F.col("a_full"), F.col("a_left")).otherwise(left).alias("left"),
+        F.when(F.col("b_full"), F.col("b_right")).otherwise(through).alias("right"),
+        (F.col("a_full") | F.col("b_full") | (F.size(left) >= model.order - 1)).alias("full"),
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import chart as H
 from quillspark.operators import compact as K
 from quillspark.operators import counts as C
 from quillspark.operators import estimate as E
@@ -174,9 +175,9 @@ def kn_vocab_pad(spark: SparkSession, d: str) -> DataFrame:
     return shown(trained(spark, d, 2, vocab_pad=10_000_000)).where(F.col("order") == 1)
 
 
-@query(Z.with_(Z.model("", "documents", "doc_id", 3, collapse=True)) + SHOWN.format("model"))
+@query(Z.with_(Z.model("", "conversations", "conv_id * 1000000 + turn", 3, collapse=True)) + SHOWN.format("model"))
 def kn_collapsed_q(spark: SparkSession, d: str) -> DataFrame:
-    return shown(trained(spark, d, collapse_values=True))
+    return shown(trained(spark, d, 3, "conversations", collapse_values=True))
 
 
 @query(Z.with_(Z.model("", "documents", "doc_id", 3, prune=[0, 1, 1])) + SHOWN.format("model"))
@@ -278,31 +279,22 @@ def blank_closure(spark: SparkSession, d: str) -> DataFrame:
 @query(Z.with_(M3, BL, Z.scored("s", "model", "bl", 3, bos=False, eos=False)) + "SELECT d AS item_id, ln AS line, round(sum(lp), 4) + 0 AS score FROM sw GROUP BY d, ln")
 def fragment_scores(spark: SparkSession, d: str) -> DataFrame:
     """Lines as fragments: without a begin or an end."""
-    s = on_benchmark(spark, d, bos=False, eos=False)
-    return s.groupBy("item_id", "line").agg(rounded(F.sum("log10_prob"), 4).alias("score"))
+    lines = S.lines_of(table(spark, d, "benchmark"), keep=["item_id"]).where(F.size("words") > 0)
+    return H.fragments(trained(spark, d), lines, ["item_id", "line"]).select("item_id", "line", rounded("score", 4).alias("score"))
 
 
 @query(Z.with_(M3, BL, Z.scored("s", "model", "bl", 3, bos=False, eos=False)) + "SELECT d AS item_id, ln AS line, round(sum(lp), 4) + 0 AS whole, round(sum(lp), 4) + 0 AS joined FROM sw GROUP BY d, ln HAVING count(*) > 1")
 def chart_equivalence(spark: SparkSession, d: str) -> DataFrame:
-    """Each line's score whole, and joined from its halves: their own scores, and what the left one changes in the first words of the right."""
-    m = trained(spark, d)
-    m = Model(cut(m.rows), m.order)
+    """Each line's score whole, and joined of its thirds: the first two, then the last."""
+    m = Model(cut(trained(spark, d).with_unk().rows), 3)
+    keys = ["item_id", "line"]
     lines = S.lines_of(table(spark, d, "benchmark"), keep=["item_id"]).where(F.size("words") > 1)
-    half = (F.size("words") / 2).cast("int")
-    lefts = lines.select("item_id", "line", F.lit("left").alias("part"), F.slice("words", F.lit(1), half).alias("words"))
-    rights = lines.select("item_id", "line", F.lit("right").alias("part"), F.slice("words", half + 1, F.size("words")).alias("words"))
-    # the seam: the last words of the left half and the first of the right, scored together; only the latter change
-    near = F.least(half, F.lit(m.order - 1))
-    seam = lines.select("item_id", "line", F.concat(F.lit("seam"), near.cast("string")).alias("part"), F.slice("words", half - near + 1, near + (m.order - 1)).alias("words"))
-    every = lefts.union(rights).union(seam).union(lines.select("item_id", "line", F.lit("whole").alias("part"), "words"))
-    s = S.words(m, every, ["item_id", "line", "part"], bos=False, eos=False)
-    far = F.expr("cast(substr(part, 5) as int)")
-    own = F.when(F.col("part").isin("left", "right"), F.col("log10_prob")).otherwise(0.0)
-    # of the seam, the right half's words as they are after the left ones, less what they were alone
-    after = F.when(F.col("part").startswith("seam") & (F.col("pos") >= far), F.col("log10_prob")).otherwise(0.0)
-    alone = F.when((F.col("part") == "right") & (F.col("pos") < m.order - 1), F.col("log10_prob")).otherwise(0.0)
-    g = s.groupBy("item_id", "line").agg(F.sum(F.when(F.col("part") == "whole", F.col("log10_prob"))).alias("whole"), F.sum(own + after - alone).alias("joined"))
-    return g.select("item_id", "line", rounded("whole", 4).alias("whole"), rounded("joined", 4).alias("joined"))
+    n = F.size("words")
+    third = F.floor(n / 3).cast("int")
+    cuts = [(F.lit(1), third), (third + 1, third), (2 * third + 1, n)]
+    parts = [H.fragments(m, lines.select(*keys, F.slice("words", a, size).alias("words")), keys) for a, size in cuts]
+    out = H.joined(m, H.joined(m, parts[0], parts[1], keys), parts[2], keys).select(*keys, F.col("score").alias("joined"))
+    return H.fragments(m, lines, keys).join(out, keys).select(*keys, rounded("score", 4).alias("whole"), rounded("joined", 4).alias("joined"))
 
 
 # --- filters
@@ -413,30 +405,34 @@ _NORM = [
 ]
 
 
-def _two(spark: SparkSession, d: str) -> list[Model]:
-    return [Model(cut(trained(spark, d, 2, n).rows), 2) for n in ("documents", "conversations")]
+#: Interpolation is shown on the two smaller corpora.
+_MI = [Z.model("a", "benchmark", "item_id", 2), Z.model("b", "conversations", "conv_id * 1000000 + turn", 2)]
+
+
+def _two(spark: SparkSession, d: str, first: str = "documents") -> list[Model]:
+    return [Model(cut(trained(spark, d, 2, n).rows), 2) for n in (first, "conversations")]
 
 
 @query(
-    Z.with_(*_MM, _VU, _BI)
+    Z.with_(*_MI, _VU, _BI)
     + "SELECT w AS ngram, round(ua, 6) + 0 AS p_0, 1 AS from_0, round(ub, 6) + 0 AS p_1, 1 AS from_1 FROM vu UNION ALL SELECT g, round(coalesce(pa, ua), 6) + 0, CASE WHEN pa IS NULL THEN 1 ELSE 2 END, round(coalesce(pb, ub), 6) + 0, CASE WHEN pb IS NULL THEN 1 ELSE 2 END FROM bi JOIN vu USING (w)"
 )
 def interp_merge(spark: SparkSession, d: str) -> DataFrame:
-    m = I.merged(_two(spark, d))
+    m = I.merged(_two(spark, d, "benchmark"))
     return m[1].union(m[2]).select("ngram", rounded("p_0").alias("p_0"), "from_0", rounded("p_1").alias("p_1"), "from_1")
 
 
 @query(
-    Z.with_(*_MM, _VU, _BI, *_NORM)
+    Z.with_(*_MI, _VU, _BI, *_NORM)
     + f"SELECT 1 AS \"order\", w AS ngram, round(least(0, CASE WHEN w = '<s>' THEN 0 ELSE {LAMBDA[0]} * ua + {LAMBDA[1]} * ub - z0 END), 6) + 0 AS log10_prob FROM vu, z0 UNION ALL SELECT 2, g, round(p - z, 6) + 0 FROM sc JOIN zc USING (c)"
 )
 def interp_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return I.interpolated(_two(spark, d), LAMBDA).rows.select("order", "ngram", rounded("log10_prob").alias("log10_prob"))
+    return I.interpolated(_two(spark, d, "benchmark"), LAMBDA).rows.select("order", "ngram", rounded("log10_prob").alias("log10_prob"))
 
 
-@query(Z.with_(*_MM, _VU, _BI, *_NORM) + "SELECT w AS ngram, round(coalesce(z0 + zc.bk - z, 0), 6) + 0 AS log10_backoff FROM vu LEFT JOIN zc ON w = c")
+@query(Z.with_(*_MI, _VU, _BI, *_NORM) + "SELECT w AS ngram, round(coalesce(z0 + zc.bk - z, 0), 6) + 0 AS log10_backoff FROM vu LEFT JOIN zc ON w = c")
 def interp_backoffs(spark: SparkSession, d: str) -> DataFrame:
-    return I.interpolated(_two(spark, d), LAMBDA).rows.where("order = 1").select("ngram", rounded("log10_backoff").alias("log10_backoff"))
+    return I.interpolated(_two(spark, d, "benchmark"), LAMBDA).rows.where("order = 1").select("ngram", rounded("log10_backoff").alias("log10_backoff"))
 
 
 _TUNE = [
@@ -464,12 +460,28 @@ def tune_gradient_iter0(spark: SparkSession, d: str) -> DataFrame:
     return U.derivatives(t, (0.5, 0.5)).select("tokens", rounded("perplexity", 3).alias("perplexity"), rounded("g_0", 3).alias("g_0"), rounded("g_1", 3).alias("g_1"))
 
 
-@query()
+def _newton(steps: int = 10, rate: float = 0.7) -> list[str]:
+    """w0 ... (la, lb): weights after each damped Newton step, and s0 ... with the perplexity before it."""
+    out = ["w0 AS (SELECT 0.5::DOUBLE AS la, 0.5::DOUBLE AS lb)"]
+    for k in range(steps):
+        e, old = "exp(la * ua + lb * ub)", "exp(la * ya + lb * yb)"
+        new = "exp(la * xa + lb * xb)"
+        out += [
+            f"b{k} AS (SELECT sum(e) AS w, sum(e * ua) AS sa, sum(e * ub) AS sb, sum(e * ua * ua) AS saa, sum(e * ua * ub) AS sab, sum(e * ub * ub) AS sbb FROM (SELECT {e} AS e, ua, ub FROM un, w{k} WHERE w <> '<s>'))",
+            f"z{k} AS (SELECT c, " + ", ".join(f"sum(n * {x} - o * {y}) AS d{t}" for t, x, y in (("", "1", "1"), ("a", "xa", "ya"), ("b", "xb", "yb"), ("aa", "xa * xa", "ya * ya"), ("ab", "xa * xb", "ya * yb"), ("bb", "xb * xb", "yb * yb"))) + f" FROM (SELECT *, {new} AS n, {old} AS o FROM ex, w{k}) GROUP BY c)",
+            f"m{k} AS (SELECT cx.n, f * w + coalesce(d, 0) AS z, f * (sa + ba * w) + coalesce(da, 0) AS ea, f * (sb + bb * w) + coalesce(db, 0) AS eb, f * (saa + 2 * ba * sa + ba * ba * w) + coalesce(daa, 0) AS eaa, f * (sab + ba * sb + bb * sa + ba * bb * w) + coalesce(dab, 0) AS eab, f * (sbb + 2 * bb * sb + bb * bb * w) + coalesce(dbb, 0) AS ebb FROM (SELECT *, exp(la * ba + lb * bb) AS f FROM cx, w{k}) cx LEFT JOIN z{k} USING (c), b{k})",
+            f"s{k} AS (SELECT la, lb, exp((sum(n * ln(z)) - la * any_value(ca) - lb * any_value(cb)) / sum(n)) AS ppl, sum(n * ea / z) - any_value(ca) AS ga, sum(n * eb / z) - any_value(cb) AS gb, sum(n * (eaa / z - (ea / z) * (ea / z))) AS haa, sum(n * (eab / z - (ea / z) * (eb / z))) AS hab, sum(n * (ebb / z - (eb / z) * (eb / z))) AS hbb FROM m{k}, w{k}, co GROUP BY la, lb)",
+            f"w{k + 1} AS (SELECT la - {rate} * (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS la, lb - {rate} * (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS lb FROM s{k})",
+        ]
+    return out
+
+
+@query(Z.with_(*_MM, _VU, _BI, *_TUNE, *_newton()) + "SELECT 0 AS model, round(la, 4) + 0 AS weight, round((SELECT ppl FROM s9), 3) AS perplexity FROM w10 UNION ALL SELECT 1, round(lb, 4) + 0, round((SELECT ppl FROM s9), 3) FROM w10")
 def tune_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights after ten Newton steps on benchmark."""
     lines = S.lines_of(table(spark, d, "benchmark"), keep=["item_id"])
     lam, seen = U.tune(_two(spark, d), lines, ["item_id", "line"])
-    return spark.createDataFrame([(k, float(x), float(seen[-1])) for k, x in enumerate(lam)], "model int, weight double, perplexity double")
+    return spark.createDataFrame([(k, round(float(x), 4) + 0.0, round(float(seen[-1]), 3)) for k, x in enumerate(lam)], "model int, weight double, perplexity double")
 
 
 # --- compact forms
@@ -501,12 +513,38 @@ def quantize_encode(spark: SparkSession, d: str) -> DataFrame:
     return e.select("order", "ngram", rounded(F.abs(F.col("log10_prob") - F.col("decoded"))).alias("error"))
 
 
-@query(Z.with_(M3, "n AS (SELECT max(c) FILTER (WHERE ord = 1) AS a, max(c) FILTER (WHERE ord = 2) AS b, max(c) FILTER (WHERE ord = 3) AS c FROM (SELECT ord, count(*) AS c FROM model GROUP BY ord))") + "SELECT 'probing' AS layout, (greatest(a + 1, floor(1.5 * a)) * 12 + (a + 1) * 8 + greatest(b + 1, floor(1.5 * b)) * 16 + greatest(c + 1, floor(1.5 * c)) * 12)::BIGINT AS bytes FROM n UNION ALL SELECT 'rest_probing', (greatest(a + 1, floor(1.5 * a)) * 12 + (a + 1) * 12 + greatest(b + 1, floor(1.5 * b)) * 20 + greatest(c + 1, floor(1.5 * c)) * 12)::BIGINT FROM n")
+_BITS = "length(bin({0}))"
+_PACK = "((({0}) + 1) * ({1}) + 7) // 8 + 8"
+
+
+def _sizes() -> str:
+    """SQL of ``compact.sizes`` for three orders (a, b, c), with w, pb and pc bits for a word, a place among b and one among c, and k bits cut by the array."""
+    trie = lambda p, q, point: f"(a + 2) * 16 + {_PACK.format('b', f'w + {p} + {q} + {point}')} + {_PACK.format('c', f'w + {p}')}"
+    books, array = "2 * 256 * 4 + 256 * 4 + 8", f"CASE WHEN k > 0 THEN ((1 << k) * pb + 7) // 8 ELSE 0 END"
+    rows = {
+        "probing": "greatest(a + 1, floor(1.5 * a)) * 12 + (a + 1) * 8 + greatest(b + 1, floor(1.5 * b)) * 16 + greatest(c + 1, floor(1.5 * c)) * 12",
+        "rest_probing": "greatest(a + 1, floor(1.5 * a)) * 12 + (a + 1) * 12 + greatest(b + 1, floor(1.5 * b)) * 20 + greatest(c + 1, floor(1.5 * c)) * 12",
+        "trie": trie(31, 32, "pc"),
+        "quant_trie": f"{books} + {trie(8, 8, 'pc')}",
+        "array_trie": f"{array} + {trie(31, 32, 'pc - k')}",
+        "quant_array_trie": f"{books} + {array} + {trie(8, 8, 'pc - k')}",
+    }
+    return " UNION ALL ".join(f"SELECT '{name}' AS layout, ({size})::BIGINT AS bytes FROM k" for name, size in rows.items())
+
+
+@query(
+    Z.with_(
+        M3,
+        "n AS (SELECT max(c) FILTER (WHERE ord = 1) AS a, max(c) FILTER (WHERE ord = 2) AS b, max(c) FILTER (WHERE ord = 3) AS c FROM (SELECT ord, count(*) AS c FROM model GROUP BY ord))",
+        f"p AS (SELECT *, {_BITS.format('a')} AS w, {_BITS.format('b')} AS pb, {_BITS.format('c')} AS pc FROM n)",
+        "k AS (SELECT *, (SELECT arg_min(j, ((1 << j::INTEGER) * pb // 8 + (b + 1) * (pc - j) // 8, j)) FROM range(0, 23) r(j) WHERE j <= pc)::INTEGER AS k FROM p)",
+    )
+    + _sizes()
+)
 def binary_size_estimate(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes of the hashed layouts."""
+    """Bytes of the six layouts."""
     n = {r["order"]: r["n"] for r in trained(spark, d).counts().collect()}
-    s = K.sizes([n[k] for k in sorted(n)])
-    return spark.createDataFrame([(k, s[k]) for k in ("probing", "rest_probing")], "layout string, bytes bigint")
+    return spark.createDataFrame(list(K.sizes([n[k] for k in sorted(n)]).items()), "layout string, bytes bigint")
 
 
 # --- formats
