@@ -1,7 +1,11 @@
 """The corpus pipeline: language ID, near-dedup, PII, mixing and packing, one after the other over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the folder that the executors share
-and reads it as the next one's ``docs``. All stages but the last return the columns of ``documents``. An empty table goes through all stages.
+and reads it as the next one's ``docs``. All stages but the last return the columns of ``documents``; further columns don't reach the stages after.
+
+Odd input: a document without text, or without any word, names no language and goes with the first stage. Nulls in the other columns stay;
+a null source counts as the source ''; rows without an id pass the first three stages and are never drawn by the mix. Rows with the same id stay or go
+together in the second stage. Ties go to the least id, as each operator says. Texts of any length are read whole. An empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, mixing, packing, pii, queries, simhash
-from quillspark.llm.shared import shared_dir
+from quillspark.llm.shared import dropped, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k > 0:  # the stage before has been read for the last time
+            dropped(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
