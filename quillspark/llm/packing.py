@@ -15,7 +15,7 @@ at the window ends in it, and windows gather their segments.
 ``materialised`` adds the texts.
 
 *At scale.* Texts are read once, to count. The shuffles hold (id, source, tokens), the segments, and a row of counts for each
-window. Totals by source come to the driver. Nothing depends on how the input is partitioned.
+window and source in it; these are never broadcast. Totals by source come to the driver. Nothing depends on how the input is partitioned.
 
 *Odd input.* As in mixing: a null source is '', rows without an id or without tokens are not packed, ids may have any type. Repeated rows are packed each
 (further rows of an id have places of their own in the order, away from the first; of equal turns the lesser source is served, and documents whose keys tie are in the order of ids, then
@@ -119,7 +119,8 @@ def packed(t: DataFrame, window: int, exponent: float, weights: dict[str, float]
     cell = 4 * window
     q = quota.withColumn("cell", F.explode(F.sequence(F.expr(f"q_from div {cell}"), F.expr(f"(q_to - 1) div {cell}"))))
     d = spans.withColumn("cell", F.explode(F.sequence(F.expr(f"s div {cell}"), F.expr(f"(e - 1) div {cell}"))))
-    met = d.join(q, ["source", "cell"]).where("s < q_to and q_from < e").where(f"greatest(s, q_from) div {cell} = cell")
+    # by sorting: of the quotas the planner sees only the range that they are made from, 8 bytes a window, and would broadcast many times that
+    met = d.join(q.hint("merge"), ["source", "cell"]).where("s < q_to and q_from < e").where(f"greatest(s, q_from) div {cell} = cell")
     # a range over two cells meets in each; the piece is one, taken where it begins
     piece = met.select("window", F.struct("source", F.greatest("s", "q_from").alias("at"), "doc_id", (F.greatest("s", "q_from") - F.col("s")).alias("start"), (F.least("e", "q_to") - F.greatest("s", "q_from")).alias("n")).alias("x"))
     return piece.groupBy("window").agg(F.sum("x.n").alias("n_tokens"), F.sort_array(F.collect_list("x")).alias("x")).select(

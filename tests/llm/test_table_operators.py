@@ -143,6 +143,16 @@ def test_packing_of_odd_input(spark, odd, none):
     assert text.where("size(split(text, ' ')) <> n_tokens").count() == 0 and text.count() == len(sizes)
 
 
+def test_packing_broadcasts_no_quotas(spark):
+    # 20 sources share every window; the planner sees the few bytes of the range of windows only
+    df = spark.range(400).selectExpr("id as doc_id", "'s' || id % 20 as source", "repeat('a ', 300) as text")
+    w = packing.windows(df, window=64, digits=1)
+    assert sum(r["n_tokens"] for r in w.collect()) == 120_000
+    plan = w._jdf.queryExecution().executedPlan().toString().split("\n")
+    joins = [x for x in plan if "Join" in x and "cell" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins), joins
+
+
 # --- WARC
 
 
