@@ -10,8 +10,9 @@ capture. Its row has the response's columns, its HTTP status, headers and payloa
 are connected, each has a row; any other record goes to the response that it names, else to one that names it, else to that of a record that it names (of
 several the least record_id), and what is left to the least of the responses. A capture without a response has a row with null response columns, under its least record_id.
 
-*At scale.* The links (pairs of identifiers) go through ``components``; requests and metadata, which are small, are grouped by the
-response that they belong to; payloads go through one shuffle, by record_id, that both drops repeated records and joins the rest. A record that more than ``hot`` others are
+*At scale.* Records that are connected with one response and nothing else, as most are, are told by two shuffles of identifiers; only the links between the others (pairs of
+identifiers) go through ``components``, if there are any. Requests and metadata, which are small, are shuffled twice: by record_id, to drop repeats and learn the response that they belong to, and by that
+response. Payloads go through one shuffle, by record_id, that both drops repeated records and joins the rest. A record that more than ``hot`` others are
 connected with (a warcinfo record, say) is no skew: what is known of it reaches them by a broadcast.
 
 *Odd input.* Records with a null or empty record_id, and raw records that are null or don't begin with ``WARC/``, are left out. Repeated record_ids are
@@ -76,29 +77,64 @@ def _http(block: Column, own: Column) -> tuple[Column, Column, Column]:
     return F.substring_index(head, "\r\n", 1), F.when(F.instr(head, "\r\n") > 0, F.substring(head, F.instr(head, "\r\n") + 2, F.length(head))).otherwise(""), F.substring(block, F.octet_length(own) + len(BREAK) + 1, F.octet_length(block))
 
 
-def captures(records: DataFrame, hot: int = 1_000_000) -> DataFrame:
-    """One nested row for each capture; see the module. ``records`` has the columns of ``RECORD``."""
-    r = records.select(*[column(records, c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in RECORD.split(", ")]).where("record_id is not null and record_id <> ''")
-    is_response = F.coalesce(F.col("type") == "response", F.lit(False))
-    # everything but the payloads is written once, so raw records are taken apart twice in all
-    narrow = cut(r.select("record_id", "type", "concurrent_to", "target_uri", "date", F.when(~is_response, F.col("block")).alias("block")))
-    links = narrow.select("record_id", F.explode("concurrent_to").alias("to")).where("to is not null and to <> ''")
+def _leaves(narrow: DataFrame, links: DataFrame, is_response: Column, hot: int, n: int) -> DataFrame:
+    """(``record_id``, ``capture``, ``ends``) of the records, not responses, that are connected with one record alone, if that is a response; ``ends``: how many links tie the two.
+
+    They belong to that response whatever else it is connected with, and nothing is connected through them.
+    """
+    ends = links.select(F.explode(F.array(F.struct(F.col("record_id").alias("node"), F.col("to").alias("x")), F.struct(F.col("to").alias("node"), F.col("record_id").alias("x")))).alias("e")).select("e.*")
+    ends = ends.union(narrow.where(is_response).select("record_id", F.lit(None).cast("string")))
+    # a response counts as a node with a null neighbour
+    nodes = ends.groupBy("node").agg(F.min("x").alias("capture"), F.max("x").alias("last"), F.count("x").alias("ends"), F.count("*").alias("rows"))
+    lone = nodes.where("capture = last and ends = rows").select(F.col("node").alias("record_id"), "capture", "ends")
+    # of a record_id that is repeated, every record must be a response
+    pure = narrow.groupBy(F.col("record_id").alias("capture")).agg(F.min(is_response).alias("pure")).where("pure")
+    return attached(lone, pure, "capture", hot, n).where("pure").select("record_id", "capture", "ends")
+
+
+def _connected(links: DataFrame, responses: DataFrame, hot: int, n: int) -> DataFrame:
+    """(``record_id``, ``capture``) of all ends of the ``n`` links; ``responses``: the identifiers (``node``) that are responses."""
     group = components(links, "record_id", "to", hot=hot)
-    responses, rest = r.where(is_response), narrow.where(~is_response)
     # the response that has the rest of its capture: the least of those connected
-    answered = group.join(narrow.where(is_response).select(F.col("record_id").alias("node")), "node", "left_semi")
+    answered = group.join(responses, "node", "left_semi")
     heads = answered.groupBy("root").agg(F.min("node").alias("head"), F.max("node").alias("last"))
+    heads = cut(heads.select("root", "head", (F.col("head") != F.col("last")).alias("several")))
+    # of n links there are 2 n nodes at most
+    out = attached(group, heads.select("root", "head"), "root", hot, 2 * n)
+    if heads.where("several").isEmpty():
+        return out.select(F.col("node").alias("record_id"), F.coalesce("head", "root").alias("capture"))
     # where there are several, a record's own links come first
-    rivals = answered.join(heads.where("head <> last"), "root", "left_semi").select("node")
+    rivals = answered.join(heads.where("several"), "root", "left_semi").select("node")
     named = links.join(rivals, F.col("to") == F.col("node")).select("record_id", F.lit(0).alias("rank"), F.col("to").alias("owner"))
     named = named.union(links.join(rivals, F.col("record_id") == F.col("node")).select(F.col("to").alias("record_id"), F.lit(1).alias("rank"), F.col("node").alias("owner")))
     near = named.groupBy(F.col("record_id").alias("via")).agg(F.min(F.struct("rank", "owner"))["owner"].alias("owner"))
-    by_way = attached(links.withColumnRenamed("to", "via"), near, "via", hot, links.count()).where("owner is not null")
+    by_way = attached(links.withColumnRenamed("to", "via"), near, "via", hot, n).where("owner is not null")
     named = named.union(by_way.select("record_id", F.lit(2).alias("rank"), "owner"))
-    owners = named.groupBy("record_id").agg(F.min(F.struct("rank", "owner"))["owner"].alias("owner"))
+    owners = named.groupBy(F.col("record_id").alias("node")).agg(F.min(F.struct("rank", "owner"))["owner"].alias("owner"))
+    return out.join(owners, "node", "left").select(F.col("node").alias("record_id"), F.coalesce("owner", "head", "root").alias("capture"))
+
+
+def captures(records: DataFrame, hot: int = 1_000_000) -> DataFrame:
+    """One nested row for each capture; see the module. ``records`` has the columns of ``RECORD``."""
+    r = records.select(*[column(records, c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in RECORD.split(", ")]).where("record_id is not null and record_id <> ''")
+    is_response = F.coalesce(F.col("type") == "response", F.lit(False))
+    # everything but the payloads is written once, so raw records are taken apart twice in all
+    narrow = cut(r.select("record_id", "type", "concurrent_to", *[F.when(~is_response, F.col(c)).alias(c) for c in ("target_uri", "date", "block")]))
+    links = narrow.select("record_id", F.explode("concurrent_to").alias("to")).where("to is not null and to <> ''")
+    n = links.count()
+    placed = cut(_leaves(narrow, links, is_response, hot, n))
+    # each link of a leaf has one end there, so this many are left
+    left = n - (placed.agg(F.sum("ends")).first()[0] or 0)
+    placed = placed.select("record_id", "capture")
+    if left:
+        if left < n:
+            for end in ("record_id", "to"):
+                links = attached(links, placed.select(F.col("record_id").alias(end), F.lit(True).alias("leaf")), end, hot, n).where("leaf is null").drop("leaf")
+            links = cut(links)
+        placed = placed.union(_connected(links, narrow.where(is_response).select(F.col("record_id").alias("node")), hot, left))
+    responses, rest = r.where(is_response), narrow.where(~is_response)
     small = rest.groupBy("record_id").agg(F.min(F.struct("type", "target_uri", "date", "block")).alias("x")).select("record_id", "x.*")
-    small = attached(small.join(group.withColumnRenamed("node", "record_id"), "record_id", "left"), heads, "root", hot, narrow.count()).join(owners, "record_id", "left")
-    small = small.withColumn("capture", F.coalesce("owner", "head", "root", "record_id"))
+    small = small.join(placed, "record_id", "left").withColumn("capture", F.coalesce("capture", "record_id"))
     small = small.withColumn("block", F.coalesce("block", F.lit(b""))).withColumn("own", head_of(F.col("block")))
     line, lines, payload = _http(F.col("block"), F.col("own"))
     small = small.select(

@@ -268,6 +268,73 @@ def test_a_hub_is_no_skew(spark):
     assert sorted(map(tuple, components(edges, hot=10).collect())) == sorted(map(tuple, components(edges).collect()))
 
 
+def plain_captures(spark, n, back):
+    """A response, request and metadata record for each of n pages; ``back``: the response names its request too."""
+    kinds = {"r": ("response", "if(back, array(q), null)", "HTTP/1.1 200 OK"), "q": ("request", "array(r)", "GET / HTTP/1.1"), "m": ("metadata", "array(r)", "k: v")}
+    ids = spark.range(n).selectExpr(*[f"md5(concat('{k}', id)) as {k}" for k in kinds], f"{back} as back")
+    made = [ids.selectExpr(f"{k} as record_id", f"'{kind}' as type", f"{to} as concurrent_to", "'http://x/' as target_uri", "'d' as date", "'t' as content_type", f"cast('{block}' as binary) as block") for k, (kind, to, block) in kinds.items()]
+    return made[0].union(made[1]).union(made[2])
+
+
+@pytest.mark.parametrize("back", ["false", "true"])
+def test_plain_captures_need_no_components(spark, monkeypatch, back):
+    def fail(*_, **__):
+        raise AssertionError("links of plain captures went through components")
+
+    monkeypatch.setattr(warc, "components", fail)
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    n, before = 5000, shuffled()
+    got = warc.captures(plain_captures(spark, n, back)).collect()
+    assert len(got) == n and all(len(r["requests"]) == len(r["metadata"]) == r["status"] // 200 == 1 and not r["others"] for r in got)
+    assert shuffled() - before < 1000 * n  # of identifiers and blocks
+
+
+def test_captures_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    kinds, links = {}, {}
+    for g in range(120):
+        ids = [f"{g}-{x}" for x in rng.choice(1000, rng.integers(1, 9), replace=False)]
+        for i in ids:
+            kinds[i] = str(rng.choice(["response", "request", "metadata", "conversion"], p=[0.35, 0.3, 0.25, 0.1]))
+            # any links, one record that all others name, and a second one that some name
+            to = [rng.choice([*ids, f"{g}-gone"], rng.integers(0, 3)), ids[:1], ids[: rng.integers(1, 3)]][g % 3]
+            links[i] = [str(x) for x in to if x != i]
+    near = {}
+    for a, to in links.items():
+        for b in to:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def whole(a):
+        seen, todo = {a}, [a]
+        while todo:
+            new = near.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    def direct(a):
+        named = [b for b in links.get(a, []) if kinds.get(b) == "response"]
+        return min(named, default=None) or min((b for b, to in links.items() if a in to and kinds[b] == "response"), default=None)
+
+    want = {}
+    for a, kind in kinds.items():
+        all_ = whole(a)
+        heads = [x for x in all_ if kinds.get(x) == "response"]
+        want[a] = a if kind == "response" else direct(a) or min((direct(b) for b in links[a] if direct(b)), default=None) or min(heads or all_)
+    rows = [record(k, a, links[a], block="GET / HTTP/1.1") for a, k in kinds.items()]
+    for hot in (1_000_000, 20):
+        got = warc.captures(spark.createDataFrame(rows + rows[::7], warc.RECORD), hot=hot).collect()
+        have = {x: r["record_id"] for r in got for x in [*[q["record_id"] for q in r["requests"]], *[m["record_id"] for m in r["metadata"]], *r["others"]]}
+        have |= {r["record_id"]: r["record_id"] for r in got if r["status"] is not None or kinds.get(r["record_id"]) == "response"}
+        assert have == want and len(got) == len(set(want.values()))
+
+
 # --- embeddings
 
 VECS = "vec_id bigint, embedding array<float>, label int"
