@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators.durable import cut
+from quillspark.operators.durable import stored
 from quillspark.operators.model import Model, VocabularyError
 
 
@@ -70,12 +70,12 @@ def interpolated(models: Sequence[Model], weights: Sequence[float]) -> Model:
         raise ValueError("as many weights as models")
     closed = []
     for m in models:
-        rows = cut(m.closed())
-        closed.append(Model(rows.select("order", "ngram", "log10_prob", "log10_backoff"), m.order))
+        rows = stored(m.closed().select("order", "ngram", "log10_prob", "log10_backoff"))
+        closed.append(Model(rows, m.order))
     models, lam = closed, [F.lit(float(x)) for x in weights]
     k_ = range(len(models))
     order = max(m.order for m in models)
-    each = {n: cut(x) for n, x in merged(models).items()}
+    each = {n: stored(x) for n, x in merged(models).items()}
     out = None
     # contexts' normalisers: z of the empty context first
     rows = each[1].withColumn("prob", _sum([lam[k] * F.col(f"p_{k}") for k in k_]))
@@ -92,7 +92,7 @@ def interpolated(models: Sequence[Model], weights: Sequence[float]) -> Model:
                 b = m.of(size).select(F.col("ngram").alias("c"), F.col("log10_backoff").alias(f"b_{k}_{size}"))
                 tail = F.substring_index("context", " ", -size)
                 ctx = ctx.withColumn("c", tail).join(b, "c", "left").drop("c").withColumn(f"b_{k}_{size}", F.coalesce(f"b_{k}_{size}", F.lit(0.0)))
-        ctx = cut(ctx)
+        ctx = stored(ctx)
         rows = rows.join(ctx, "context")
         low = each[n - 1].select(F.col("ngram").alias("low"), *[F.col(f"p_{k}").alias(f"lp_{k}") for k in k_], *[F.col(f"from_{k}").alias(f"lf_{k}") for k in k_])
         rows = rows.join(low, "low")
@@ -114,7 +114,7 @@ def interpolated(models: Sequence[Model], weights: Sequence[float]) -> Model:
             g = g.withColumn("zl", F.lit(z0))
         else:
             g = g.withColumn("cl", T.suffix(F.col("context"))).join(z.withColumnsRenamed({"context": "cl", "z": "zl"}), "cl", "left").withColumn("zl", F.coalesce("zl", F.lit(z0)))
-        z_n = cut(g.select("context", F.log10(F.pow(F.lit(10.0), F.col("zl") + F.col("bb")) + F.col("moved")).alias("z"), "zl", "bb"))
+        z_n = stored(g.select("context", F.log10(F.pow(F.lit(10.0), F.col("zl") + F.col("bb")) + F.col("moved")).alias("z"), "zl", "bb"))
         probs[n] = rows.join(z_n.select("context", "z"), "context").select("ngram", (F.col("prob") - F.col("z")).alias("log10_prob"))
         backoffs[n - 1] = z_n.select(F.col("context").alias("ngram"), (F.col("zl") + F.col("bb") - F.col("z")).alias("log10_backoff"))
         z = z_n.select("context", "z")

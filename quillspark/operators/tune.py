@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import interpolate as I
 from quillspark.operators import score as S
-from quillspark.operators.durable import cut
+from quillspark.operators.durable import stored
 from quillspark.operators.model import Model
 
 
@@ -40,20 +40,20 @@ def tables(models: Sequence[Model], lines: DataFrame, keys: Sequence[str]) -> di
     """
     k_ = range(len(models))
     seen, vocab = instances(models, lines, keys)
-    seen = cut(seen)
+    seen = stored(seen)
     ln = float(np.log(10))
-    closed = [cut(m.closed()) for m in models]
+    closed = [stored(m.closed().select("order", "ngram", "log10_prob", "log10_backoff")) for m in models]
     uni = vocab.select("word")
     for k, c in enumerate(closed):
         own = c.where("order = 1").select(F.col("ngram").alias("word"), (F.col("log10_prob") * ln).alias(f"u_{k}"))
         unk = c.where((F.col("order") == 1) & (F.col("ngram") == T.UNK)).select((F.col("log10_prob") * ln).alias("unk"))
         uni = uni.join(own, "word", "left").crossJoin(F.broadcast(unk)).withColumn(f"u_{k}", F.coalesce(f"u_{k}", "unk")).drop("unk")
-    uni = cut(uni)
+    uni = stored(uni)
     ctx = seen.groupBy("context").agg(F.sum("n").alias("n"))
     words = F.split("context", " ")
     order = max(m.order for m in models)
     tails = ctx.where("context <> ''").select("context", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda s: F.struct(s.alias("size"), F.array_join(F.slice(words, F.size(words) - s + 1, s), " ").alias("c")))).alias("x")).select("context", "x.*")
-    tails = cut(tails)
+    tails = stored(tails)
     ext = None
     for k, c in enumerate(closed):
         b = tails.join(c.select(F.col("ngram").alias("c"), (F.col("log10_backoff") * ln).alias("b")), "c")
@@ -67,10 +67,10 @@ def tables(models: Sequence[Model], lines: DataFrame, keys: Sequence[str]) -> di
             left = F.when(F.col("order") == s, F.coalesce(f"from_{s}", F.lit(0.0))).otherwise(left)
         own = best.select("context", "word", F.lit(k).alias("m"), (F.col("p") + left).alias("x"))
         ext = own if ext is None else ext.union(own)
-    ctx = cut(ctx)
+    ctx = stored(ctx)
     wide = ext.groupBy("context", "word").agg(*[F.max(F.when(F.col("m") == k, F.col("x"))).alias(f"x_{k}") for k in k_])
     wide = wide.join(uni, "word").join(ctx.select("context", *[f"b_{k}" for k in k_]), "context")
-    wide = cut(wide.select("context", "word", *[F.coalesce(f"x_{k}", F.col(f"u_{k}") + F.col(f"b_{k}")).alias(f"x_{k}") for k in k_], *[f"u_{k}" for k in k_]))
+    wide = stored(wide.select("context", "word", *[F.coalesce(f"x_{k}", F.col(f"u_{k}") + F.col(f"b_{k}")).alias(f"x_{k}") for k in k_], *[f"u_{k}" for k in k_]))
     right = seen.join(uni, "word").join(ctx.drop("n"), "context").join(wide.select("context", "word", *[f"x_{k}" for k in k_]), ["context", "word"], "left")
     right = right.groupBy("context").agg(*[F.sum(F.col("n") * F.coalesce(f"x_{k}", F.col(f"u_{k}") + F.col(f"b_{k}"))).alias(f"c_{k}") for k in k_])
     return {"unigrams": uni, "contexts": ctx, "extensions": wide, "correct": right}
